@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP7_SQL, op7_winnowing_decontamination
 from .dedup_simhash import op10_simhash_near_dedup
+from .token_store import op8_elias_fano_tokens
 
-QUERIES = [op10_simhash_near_dedup]
+QUERIES = [op7_winnowing_decontamination, op8_elias_fano_tokens, op10_simhash_near_dedup]
 
 
 def queries() -> dict:
@@ -12,4 +14,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op7_winnowing_decontamination": OP7_SQL}

@@ -5,10 +5,11 @@ from __future__ import annotations
 from .decontaminate import OP7_SQL, op7_winnowing_decontamination
 from .dedup_simhash import op10_simhash_near_dedup
 from .packing import op5_cutting_stock_packing
+from .repetition import OP3_SQL, op3_repetition_coverage
 from .secrets import op4_blob_ledger_secret_scan
 from .token_store import op8_elias_fano_tokens
 
-QUERIES = [op4_blob_ledger_secret_scan, op5_cutting_stock_packing, op7_winnowing_decontamination, op8_elias_fano_tokens, op10_simhash_near_dedup]
+QUERIES = [op3_repetition_coverage, op4_blob_ledger_secret_scan, op5_cutting_stock_packing, op7_winnowing_decontamination, op8_elias_fano_tokens, op10_simhash_near_dedup]
 
 
 def queries() -> dict:
@@ -16,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op7_winnowing_decontamination": OP7_SQL}
+    return {"op3_repetition_coverage": OP3_SQL, "op7_winnowing_decontamination": OP7_SQL}

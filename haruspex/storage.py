@@ -27,3 +27,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def replayable(df: DataFrame, name: str) -> DataFrame:
+    """df, if every reading deals the same rows to the same partitions (a scan of files); else a written copy.
+
+    Only then does monotonically_increasing_id name the same row in two readings.
+    """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    scanned = "FileScan" in plan and not any(x in plan for x in ("Exchange", "AdaptiveSparkPlan", "LocalTableScan", "ExistingRDD", "Python", "Arrow", "Pandas"))
+    return df if scanned else materialise(df, name)

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import replayable
 from ._flat import alnum_ascii, mixed, slices, stash
 
 WINDOW = 10
@@ -187,7 +188,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
     blocks = list(blocks_of(benchmark, item_text, item_id, block_words))
     if len(blocks) == 1:
         return rows.mapInArrow(_scan(blocks[0], True), RESULT)
-    rows = rows.withColumn("rid", F.monotonically_increasing_id())
+    rows = replayable(rows, "contamination-docs").withColumn("rid", F.monotonically_increasing_id())
     each = None
     for block in blocks:
         one = rows.mapInArrow(_scan(block, False), "rid long, doc_id long, n_words long, spans array<long>, names array<long>")

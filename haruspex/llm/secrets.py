@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from ..storage import materialise, replayable
 from ._flat import slices
 
 BASE = ("assign", "access", "hex")
@@ -100,7 +100,8 @@ class Ledger:
 def scan(docs: DataFrame, path: str = "doc_id", text: str = "text", ledger: Ledger | None = None) -> DataFrame:
     """(path, blob, spans) of every row of docs; only blobs that the ledger lacks are read."""
     ledger = ledger or Ledger(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(path).alias("path"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = replayable(docs.select(F.col(path).alias("path"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), "secret-docs")
+    rows = rows.withColumn("rid", F.monotonically_increasing_id())
     # Only row numbers and addresses meet by blob; texts go to their representative's row number, which no group shares.
     paths = materialise(rows.select("rid", "path", F.sha2(F.col("text").cast("binary"), 256).alias("blob")), "secret-paths")
     known = ledger.entries()
@@ -127,8 +128,7 @@ def op4_blob_ledger_secret_scan(spark, sf_dir: str) -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text", ledger: Ledger | None = None) -> DataFrame:
     """docs with every span replaced by its kind in brackets; overlapping spans go as one, under the first kind."""
-    keyed = docs.withColumn("_rid", F.monotonically_increasing_id())
-    keyed = materialise(keyed, "secret-redact")
+    keyed = replayable(docs, "secret-redact").withColumn("_rid", F.monotonically_increasing_id())
     found = scan(keyed, "_rid", text, ledger).where(F.size("spans") > 0).select(F.col("path").alias("_rid"), "spans")
     step = lambda acc, x: F.when(
         x["end"] <= acc["at"], acc

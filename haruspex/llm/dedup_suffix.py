@@ -19,7 +19,9 @@ of the phrase is repeated. A parse key with several contexts: one row of each co
 strings (96 at most), which are sorted once more by their own fingerprint.
 
 Sorted streams are read in batches with one row of state, so a key of any size needs no memory. No group is
-collected, and no pairs are made. Texts move twice, to be opened and to be cut.
+collected, and no pairs are made. Before rows move, each step of a batch keeps two rows of equal keys: more are
+known to be repeated there and then, and travel by their document, so that no key is hot. Texts move twice,
+compressed, to be opened and to be cut.
 
 Edge cases: null and empty texts have no bytes (the hash of nothing); texts under 200 bytes stay whole;
 repeated rows are copies of each other; an empty table gives an empty result; extra columns are ignored.
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialise, replayable
-from ._flat import RollingHash, mixed, slices, stretches
+from ._flat import STEP_BYTES, RollingHash, mixed, slices, stretches
 
 LENGTH = 200
 REACH = 96
@@ -83,17 +85,55 @@ def phrases(buffer: np.ndarray, first: np.ndarray, last: np.ndarray, shape: Shap
 
 def _pieces(parts: list[bytes], shape: Shape):
     """(buffer, document, place of the buffer in it, first and last starts) that together hold every string."""
-    if len(parts) == 1 and len(parts[0]) > CHUNK:
-        whole = np.frombuffer(parts[0], np.uint8)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    for i in np.flatnonzero(sizes > CHUNK).tolist():
+        whole = np.frombuffer(parts[i], np.uint8)
         for at in range(0, len(whole) - shape.length + 1, CHUNK):
             piece = whole[at : at + CHUNK + shape.length - 1]
-            yield piece, np.zeros(1, np.int64), np.array([-at]), np.zeros(1, np.int64), np.array([len(piece) - shape.length + 1])
-        return
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    long = np.flatnonzero(sizes >= shape.length)
-    if len(long):
-        yield np.frombuffer(b"".join(parts), np.uint8), long, begin[long], begin[long], begin[long] + sizes[long] - shape.length + 1
+            yield piece, np.array([i]), np.array([-at]), np.zeros(1, np.int64), np.array([len(piece) - shape.length + 1])
+    fit = np.flatnonzero((sizes >= shape.length) & (sizes <= CHUNK))
+    if len(fit):
+        begin = np.concatenate(([0], np.cumsum(sizes[fit])[:-1]))
+        yield np.frombuffer(b"".join([parts[i] for i in fit.tolist()]), np.uint8), fit, begin, begin, begin + sizes[fit] - shape.length + 1
+
+
+#: Places travel as one integer: first start, then this many bits for the number of starts.
+BITS = 24
+
+
+def _packed(lo: np.ndarray, n) -> np.ndarray:
+    return lo << BITS | n
+
+
+def _third(*keys: np.ndarray) -> np.ndarray:
+    """Which rows have two rows of equal keys before them."""
+    order = np.lexsort(keys[::-1])
+    same = np.ones(max(len(order) - 1, 0), bool)
+    for k in keys:
+        same &= k[order][1:] == k[order][:-1]
+    out = np.zeros(len(order), bool)
+    out[order[2:]] = same[1:] & same[:-1]
+    return out
+
+
+def _dealt(key: np.ndarray, c: np.ndarray, rid: np.ndarray, lo: np.ndarray, n: np.ndarray, names):
+    """Rows to sort by key, and those already known to be repeated, joined to runs and dealt by document."""
+    known = _third(key, c)
+    open_ = ~known
+    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(int(open_.sum()), bool)), *(pa.array(x[open_]) for x in (key, c, rid)), pa.array(_packed(lo, n)[open_])], names=names)
+    if known.any():
+        r, a, k = rid[known], lo[known], n[known]
+        order = np.lexsort((a, r))
+        r, a, k = r[order], a[order], k[order]
+        new = np.concatenate(([True], (r[1:] != r[:-1]) | (a[1:] != a[:-1] + k[:-1])))
+        at = np.flatnonzero(new)
+        total = np.add.reduceat(k, at)
+        r, a = r[at], a[at]
+        far = mixed(r.astype(np.uint64)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), bool)), pa.array(far), pa.array(np.zeros(len(at), np.int64)), pa.array(r), pa.array(_packed(a, total))], names=names)
+
+
+ROWS = ["known", "k", "c", "rid", "at"]
 
 
 def _parse(shape: Shape):
@@ -103,7 +143,7 @@ def _parse(shape: Shape):
             for buffer, doc, begin, first, last in _pieces(parts, shape):
                 parse, phrase, lo, n = phrases(buffer, first, last, shape)
                 which = np.searchsorted(first, lo, side="right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (parse, phrase, rid[doc[which]], lo - begin[which], n.astype(np.int32))], names=["k", "c", "rid", "lo", "n"])
+                yield from _dealt(parse, phrase, rid[doc[which]], lo - begin[which], n, ROWS)
 
     return run
 
@@ -111,16 +151,27 @@ def _parse(shape: Shape):
 SINGLE, WHOLE, OPEN, BOTH = 0, 1, 2, 3
 
 
+def _sorted_rows(batches):
+    """(known, columns) of sorted batches, rows to compare apart from rows already known."""
+    for batch in batches:
+        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+        known = rows[0].astype(bool)
+        for flag in (False, True):
+            on = known == flag
+            if on.any():
+                yield flag, [x[on] for x in rows[1:]]
+
+
 def _order(batches):
     """Rows in order of (k, c): WHOLE where the context has a copy, OPEN where other contexts share the key, or BOTH.
 
     The first row of a run of equal (k, c) waits for the run's end; all others are known at once.
     """
     held, more, before = None, 0, False  # the open run's first row, how many followed, whether its key had other runs
-    for batch in batches:
-        if batch.num_rows == 0:
+    for known, rows in _sorted_rows(batches):
+        if known:
+            yield from _kinds(rows, np.full(len(rows[0]), WHOLE))
             continue
-        rows = [batch.column(i).to_numpy() for i in range(5)]
         if held is not None:
             rows = [np.concatenate((a, b)) for a, b in zip(held, rows)]
         k, c = rows[0], rows[1]
@@ -145,26 +196,28 @@ def _order(batches):
 def _kinds(rows, kind):
     on = np.flatnonzero(kind)
     if len(on):
-        yield pa.RecordBatch.from_arrays([pa.array(rows[2][on]), pa.array(rows[3][on]), pa.array(rows[4][on]), pa.array(kind[on].astype(np.int32))], names=["rid", "lo", "n", "kind"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows[2][on]), pa.array(rows[3][on]), pa.array(kind[on].astype(np.int32))], names=["rid", "at", "kind"])
 
 
 def _strings(shape: Shape):
     """Fingerprints of all strings of the opened phrases."""
 
     def run(batches):
-        for batch, parts in slices(batches):
-            for rid, text, places in zip(batch.column("rid").to_pylist(), parts, batch.column("places")):
-                lo = np.array([x["lo"] for x in places.as_py()], np.int64)
-                n = np.array([x["n"] for x in places.as_py()], np.int64)
-                for one in range(0, len(lo), 4096):
-                    a, k = lo[one : one + 4096], n[one : one + 4096]
-                    # contexts side by side: only their own bytes are hashed
-                    size = k - 1 + shape.length
-                    buffer = np.frombuffer(text, np.uint8)[stretches(a, a + size)]
-                    begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-                    starts = stretches(begin, begin + k)
-                    w = RollingHash(buffer).of(starts, starts + shape.length)
-                    yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.full(len(w), rid)), pa.array(stretches(a, a + k))], names=["w", "rid", "lo"])
+        for batch, parts in _unpacked(batches):
+            rid, lo, size, buffers = [], [], [], []
+            for r, text, places in zip(batch.column("rid").to_pylist(), parts, batch.column("places")):
+                at = places.values.to_numpy()
+                a, n = at >> BITS, at & (1 << BITS) - 1
+                rid.append(np.full(len(a), r))
+                lo.append(a)
+                size.append(n)
+                # contexts side by side: only their own bytes are hashed
+                buffers.append(np.frombuffer(text, np.uint8)[stretches(a, a + n - 1 + shape.length)])
+            rid, lo, n, buffer = map(np.concatenate, (rid, lo, size, buffers))
+            begin = np.concatenate(([0], np.cumsum(n - 1 + shape.length)[:-1]))
+            starts = stretches(begin, begin + n)
+            w = RollingHash(buffer).of(starts, starts + shape.length).view(np.int64)
+            yield from _dealt(w, np.zeros(len(w), np.int64), np.repeat(rid, n), stretches(lo, lo + n), np.ones(len(w), np.int64), ROWS)
 
     return run
 
@@ -172,10 +225,10 @@ def _strings(shape: Shape):
 def _twice(batches):
     """Rows in order of w: those whose w occurs again. A run's first row waits for the second."""
     held, seen = None, False
-    for batch in batches:
-        if batch.num_rows == 0:
+    for known, rows in _sorted_rows(batches):
+        if known:
+            yield pa.RecordBatch.from_arrays([pa.array(rows[2]), pa.array(rows[3])], names=["rid", "at"])
             continue
-        rows = [batch.column(i).to_numpy() for i in range(3)]
         if held is not None:
             rows = [np.concatenate((a, b)) for a, b in zip(held, rows)]
         same = rows[0][1:] == rows[0][:-1]
@@ -186,32 +239,51 @@ def _twice(batches):
         held = [x[-1:] for x in rows]
         on = np.flatnonzero(hit)
         if len(on):
-            yield pa.RecordBatch.from_arrays([pa.array(rows[1][on]), pa.array(rows[2][on])], names=["rid", "lo"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[2][on]), pa.array(rows[3][on])], names=["rid", "at"])
 
 
-def _cut(batches):
+def _pack(batches):
+    """Texts as zstd frames: they move twice, and are about a third smaller so."""
+    import zstandard
+
+    frame = zstandard.ZstdCompressor(level=1).compress
     for batch, parts in slices(batches):
-        kept, spans = [], []
-        for text, places in zip(parts, batch.column("places")):
-            if not places.is_valid:
-                kept.append(text)
-                spans.append([])
-                continue
-            lo = places.values.field("lo").to_numpy()
-            hi = places.values.field("hi").to_numpy()
-            order = np.argsort(lo, kind="stable")
-            lo, hi = lo[order], np.maximum.accumulate(hi[order])
-            first = np.concatenate(([True], lo[1:] > hi[:-1]))
-            begin, end = lo[first], hi[np.append(np.flatnonzero(first)[1:] - 1, len(lo) - 1)]
-            cuts = list(zip(begin.tolist(), end.tolist()))
-            out, at = [], 0
-            for a, b in cuts:
-                out.append(text[at:a])
-                at = b
-            kept.append(b"".join([*out, text[at:]]))
-            spans.append([{"start": a, "end": b} for a, b in cuts])
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, parts)), pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, kind)], names=["doc_id", "n_bytes", "kept", "spans"])
+        yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array([frame(t) for t in parts], pa.binary())], names=["rid", "doc_id", "z"])
+
+
+def _unpacked(batches):
+    import zstandard
+
+    plain = zstandard.ZstdDecompressor().decompress
+    for batch, parts in slices(batches, "z", STEP_BYTES // 3):
+        yield batch, [plain(z) for z in parts]
+
+
+def _cut(length: int):
+    def run(batches):
+        for batch, parts in _unpacked(batches):
+            kept, spans = [], []
+            for text, places in zip(parts, batch.column("places")):
+                if not places.is_valid:
+                    kept.append(text)
+                    spans.append([])
+                    continue
+                at = np.sort(places.values.to_numpy())
+                lo = at >> BITS
+                hi = np.maximum.accumulate(lo + (at & (1 << BITS) - 1) - 1 + length)
+                first = np.concatenate(([True], lo[1:] > hi[:-1]))
+                begin, end = lo[first], hi[np.append(np.flatnonzero(first)[1:] - 1, len(lo) - 1)]
+                cuts = list(zip(begin.tolist(), end.tolist()))
+                out, last = [], 0
+                for a, b in cuts:
+                    out.append(text[last:a])
+                    last = b
+                kept.append(b"".join([*out, text[last:]]))
+                spans.append([{"start": a, "end": b} for a, b in cuts])
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, parts)), pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, kind)], names=["doc_id", "n_bytes", "kept", "spans"])
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shape: Shape | None = None) -> DataFrame:
@@ -219,16 +291,18 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     shape = shape or Shape()
     rows = replayable(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), "suffix-docs")
     rows = rows.withColumn("rid", F.monotonically_increasing_id())
-    parsed = rows.select("rid", "text").mapInArrow(_parse(shape), "k long, c long, rid long, lo long, n int")
-    ordered = parsed.repartition("k").sortWithinPartitions("k", "c").mapInArrow(_order, "rid long, lo long, n int, kind int")
+    sort = "known boolean, k long, c long, rid long, at long"
+    parsed = rows.select("rid", "text").mapInArrow(_parse(shape), sort)
+    ordered = parsed.repartition("k").sortWithinPartitions("known", "k", "c").mapInArrow(_order, "rid long, at long, kind int")
     ordered = materialise(ordered, "suffix-order")
-    opened = ordered.where(F.col("kind") >= OPEN).groupBy("rid").agg(F.collect_list(F.struct("lo", "n")).alias("places"))
-    strings = rows.select("rid", "text").join(opened, "rid").mapInArrow(_strings(shape), "w long, rid long, lo long")
-    again = strings.repartition("w").sortWithinPartitions("w").mapInArrow(_twice, "rid long, lo long")
+    packed = rows.mapInArrow(_pack, "rid long, doc_id long, z binary")
+    opened = ordered.where(F.col("kind") >= OPEN).groupBy("rid").agg(F.collect_list("at").alias("places"))
+    strings = packed.select("rid", "z").join(opened, "rid").mapInArrow(_strings(shape), sort)
+    again = strings.repartition("k").sortWithinPartitions("known", "k").mapInArrow(_twice, "rid long, at long")
     again = materialise(again, "suffix-again")
-    whole = ordered.where(F.col("kind").isin(WHOLE, BOTH)).select("rid", "lo", (F.col("lo") + F.col("n") - 1 + shape.length).alias("hi"))
-    places = whole.unionByName(again.select("rid", "lo", (F.col("lo") + shape.length).alias("hi"))).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("places"))
-    return rows.join(places, "rid", "left").mapInArrow(_cut, "doc_id long, n_bytes long, kept binary, spans array<struct<start: long, `end`: long>>")
+    whole = ordered.where(F.col("kind").isin(WHOLE, BOTH)).select("rid", "at").unionByName(again)
+    places = whole.groupBy("rid").agg(F.collect_list("at").alias("places"))
+    return packed.join(places, "rid", "left").mapInArrow(_cut(shape.length), "doc_id long, n_bytes long, kept binary, spans array<struct<start: long, `end`: long>>")
 
 
 def op2_prefix_free_dedup(spark, sf_dir: str) -> DataFrame:

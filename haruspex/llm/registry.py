@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ctw import op6_context_tree_weighting
 from .decontaminate import OP7_SQL, op7_winnowing_decontamination
 from .dedup_simhash import op10_simhash_near_dedup
 from .dedup_suffix import op2_prefix_free_dedup
@@ -12,7 +13,7 @@ from .secrets import op4_blob_ledger_secret_scan
 from .token_store import op8_elias_fano_tokens
 from .toxicity import op1_toxic_segments
 
-QUERIES = [op1_toxic_segments, op2_prefix_free_dedup, op3_repetition_coverage, op4_blob_ledger_secret_scan, op5_cutting_stock_packing, op7_winnowing_decontamination, op8_elias_fano_tokens, op9_rule_ensemble_quality, op10_simhash_near_dedup]
+QUERIES = [op1_toxic_segments, op2_prefix_free_dedup, op3_repetition_coverage, op4_blob_ledger_secret_scan, op5_cutting_stock_packing, op6_context_tree_weighting, op7_winnowing_decontamination, op8_elias_fano_tokens, op9_rule_ensemble_quality, op10_simhash_near_dedup]
 
 
 def queries() -> dict:

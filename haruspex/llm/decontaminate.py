@@ -198,6 +198,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
     return whole.select("doc_id", "n_words", F.size("spans").cast("long").alias("n_hit"), F.size("names").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
+def _clean(items: list[tuple[int, bytes]], text: str):
+    scan = _scan(items, True)
+
+    def run(batches):
+        for batch, _ in slices(batches, text):
+            own = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(text).cast(pa.string())], names=["doc_id", "text"])
+            hit = np.concatenate([x.column("contaminated").to_numpy(zero_copy_only=False) for x in scan([own])])
+            yield batch.filter(pa.array(~hit))
+
+    return run
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Rows of docs, all columns, in which no window of the benchmark occurs; blocks filter one after another."""
+    for block in blocks_of(benchmark, item_text, item_id, block_words):
+        if block:
+            docs = docs.mapInArrow(_clean(block, text), docs.schema)
+    return docs
+
+
 def op7_winnowing_decontamination(spark, sf_dir: str) -> DataFrame:
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 

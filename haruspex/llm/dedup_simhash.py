@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from ..storage import materialise, replayable
 from ._flat import lower_ascii, slices
 
 SEGMENTS = (13, 13, 13, 13, 12)
@@ -205,7 +205,8 @@ def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id; rows without doc_id stay."""
-    found = near_duplicates(docs, crowd=crowd).where("doc_id != component_id").select("doc_id")
-    return docs.join(found, "doc_id", "left_anti")
+def keep_one(docs: DataFrame, text: str = "text", crowd: int = CROWD) -> DataFrame:
+    """One row of each group, all columns; groups are of rows, so repeated rows and null doc_ids count too."""
+    rows = replayable(docs, "simhash-docs").withColumn("_rid", F.monotonically_increasing_id())
+    found = near_duplicates(rows, text, "_rid", crowd).where("doc_id != component_id").select(F.col("doc_id").alias("_rid"))
+    return rows.join(found, "_rid", "left_anti").select(*docs.columns)

@@ -152,6 +152,19 @@ def _features(table: np.ndarray, tail: Tail | None):
     return run
 
 
+def _with_evidence(table: np.ndarray, tail: Tail | None):
+    """Arrow function: all columns of the rows, with evidence and best behind them."""
+    run = _features(table, tail)
+
+    def with_evidence(batches):
+        for batch, _ in slices(batches, "_text"):
+            found = pa.Table.from_batches(list(run([batch.select(["_id", "_text"]).rename_columns(["doc_id", "text"])]))).combine_chunks()
+            columns = [c for n, c in zip(batch.schema.names, batch.columns) if n not in ("_id", "_text")]
+            yield pa.RecordBatch.from_arrays([*columns, *(found[n].chunk(0) for n in ("evidence", "best"))], names=[n for n in batch.schema.names if n not in ("_id", "_text")] + ["_evidence", "_best"])
+
+    return with_evidence
+
+
 FEATURES = "doc_id long, n_words long, n_segments long, evidence double, best double, passages array<struct<start: long, `end`: long, score: double>>"
 
 
@@ -177,7 +190,7 @@ class Toxicity:
         raw = rest.mapInArrow(_features(table, None), FEATURES).select("doc_id", "n_words", "n_segments").collect()  # of the sample
         calm = [r for r in raw if not label[r.doc_id]]
         rate = sum(r.n_segments for r in calm) / max(1, sum(r.n_words for r in calm))
-        tail = Tail(values - DRIFT, shares, rate)
+        tail = Tail(values.astype(float) - DRIFT, shares, rate)
         rows_ = rest.mapInArrow(_features(table, tail), FEATURES).select("doc_id", "evidence", "best").collect()  # of the sample
         y = np.array([label[r.doc_id] for r in rows_], float)
         if not len(y) or y.min() == y.max():
@@ -189,9 +202,20 @@ class Toxicity:
     def score(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
         """FEATURES and score of every document."""
         rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+        return rows.mapInArrow(_features(self.table, self.tail), FEATURES).withColumn("score", self._curve("evidence", "best"))
+
+    def _curve(self, evidence: str, best: str):
         a, b = map(float, self.weights)
-        logit = F.lit(self.intercept) + F.lit(a) * F.log1p("evidence") + F.lit(b) * F.log1p("best")
-        return rows.mapInArrow(_features(self.table, self.tail), FEATURES).withColumn("score", 1 / (1 + F.exp(-logit)))
+        return 1 / (1 + F.exp(-(F.lit(self.intercept) + F.lit(a) * F.log1p(evidence) + F.lit(b) * F.log1p(best))))
+
+    def keep_clean(self, docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+        """Rows of docs, all columns, that score below the threshold; nothing is joined or shuffled."""
+        from pyspark.sql.types import DoubleType, StructType
+
+        schema = StructType([*docs.schema.fields]).add("_evidence", DoubleType()).add("_best", DoubleType())
+        rows = docs.withColumns({"_id": F.lit(0).cast("long"), "_text": F.col(text).cast("string")})
+        found = rows.mapInArrow(_with_evidence(self.table, self.tail), schema)
+        return found.where(self._curve("_evidence", "_best") < threshold).drop("_evidence", "_best")
 
 
 def op1_toxic_segments(spark, sf_dir: str) -> DataFrame:

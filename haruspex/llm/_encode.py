@@ -63,11 +63,16 @@ class Encoder:
 
         model = Tokenizer.from_file(path)
         single, alphabet, bpe = re.compile(SINGLE).fullmatch, byte_alphabet(), model.model.tokenize
+        space = chr(alphabet[32])
 
         def encode(part: bytes) -> bytes:
             if single(part) and b"<|" not in part:  # the model's own step alone, a quarter of the time
-                own = part.decode().lower().encode() if words else part
-                return array("I", [x.id for x in bpe(own.decode("latin-1").translate(alphabet))]).tobytes()
+                if part.isascii():  # visible characters stand for themselves, and only a first space does not
+                    own = space + part[1:].decode() if part[0] == 32 else part.decode()
+                    own = own.lower() if words else own
+                else:
+                    own = (part.decode().lower().encode() if words else part).decode("latin-1").translate(alphabet)
+                return array("I", [x.id for x in bpe(own)]).tobytes()
             return array("I", model.encode(part.decode(), add_special_tokens=False).ids).tobytes()
 
         self.words, self.cache = words, _Cache(encode)

@@ -35,9 +35,12 @@ def hash_bootstrap(df: DataFrame, value: str | Column, cluster: str, *, level: f
     for k in range(8):
         tail += math.exp(-1) / math.factorial(k)
         cuts.append(tail)
-    times = sum(((F.col("u") >= c).cast("int") for c in cuts), F.lit(0))
-    drawn = grouped.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("u", u).withColumn("k", times).where("k > 0")
-    means = drawn.groupBy("b").agg((F.sum(F.col("k") * F.col("s")) / F.sum(F.col("k") * F.col("n"))).alias("mean"))
+    # bound to a variable once: a draw named eight times would be hashed eight times
+    times = F.transform(F.array(u), lambda v: sum(((v >= c).cast("int") for c in cuts), F.lit(0)))[0]
+    # cluster sums are small, the work on them isn't: a stated number of partitions keeps all cores busy
+    spread = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    drawn = grouped.repartition(spread, "cluster").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("ks", F.transform(F.array(times), lambda k: F.struct((k * F.col("s")).alias("s"), (k * F.col("n")).alias("n")))[0])
+    means = drawn.groupBy("b").agg(F.try_divide(F.sum("ks.s"), F.sum("ks.n")).alias("mean"))
     lo = (1 - level) / 2
     point = grouped.agg((F.sum("s") / F.sum("n")).alias("point"), F.count("*").alias("n_clusters"), F.sum("n").alias("n_observations"))
     return means.agg(F.percentile("mean", lo).alias("lower"), F.percentile("mean", 1 - lo).alias("upper"), F.count("*").alias("n_resamples")).crossJoin(point)

@@ -214,13 +214,13 @@ def agg22_uniform(spark, d):
 POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
 
 
-@query("agg23_bootstrap_hash", f"""with {X.FORECAST}, cl as (select cluster, sum((p - y) * (p - y)) s, count(*) n from fc where l_partkey % 20 = 0 group by 1), b as (select unnest(range(1, 201)) b),
+@query("agg23_bootstrap_hash", f"""with {X.FORECAST}, cl as (select cluster, sum((p - y) * (p - y)) s, count(*) n from fc group by 1), b as (select unnest(range(1, 101)) b),
 dr as (select b, s, n, {' + '.join(f'(u >= {c!r}::double)::int' for c in POISSON)} k from (select b, s, n, ('0x' || substr(sha256('boot:' || b::varchar || ':' || cluster::varchar), 1, 8))::ubigint / 4294967296.0::double u from cl, b)),
 me as (select b, sum(k * s) / sum(k * n) mean from dr where k > 0 group by b)
 select {R('quantile_cont(mean, 0.025)')} lower, {R('quantile_cont(mean, 0.975)')} upper, count(*) n_resamples, {R('(select sum(s) / sum(n) from cl)')} point, (select count(*) from cl) n_clusters, (select sum(n)::bigint from cl) n_observations from me""")
 def agg23(spark, d):
-    fc = X.forecast(spark, d).where("l_partkey % 20 = 0")
-    return rounded(resample.hash_bootstrap(fc.withColumn("e", (F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))), "e", "cluster"))
+    fc = X.forecast(spark, d)
+    return rounded(resample.hash_bootstrap(fc.withColumn("e", (F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))), "e", "cluster", resamples=100))
 
 
 @query("agg24_paired_bootstrap")

@@ -112,11 +112,11 @@ def top01(spark, d):
     return ingest.one_per_event(rows, "event_ticker", [F.desc("life"), "ticker"]).select("event_ticker", "ticker", "life")
 
 
-@query("ing08_rebuilt_prompts", """with t as (select doc_id, substr(text, 1, 40) || case when doc_id % 2 = 0 then '? ' else '' end title, case when doc_id % 3 = 0 then lower(substr(text, 5, 8)) else 'Sub ' || doc_id end sub from documents)
+@query("ing08_rebuilt_prompts", """with t as (select doc_id, text || case when doc_id % 2 = 0 then '? ' else '' end title, case when doc_id % 3 = 0 then upper(lang) else 'Sub ' || doc_id end sub from documents)
 select doc_id, case when contains(lower(title), lower(sub)) then title else regexp_replace(regexp_replace(regexp_replace(title, '\\s+$', ''), '\\?+$', ''), '\\s+$', '') || ' — resolves YES if: ' || sub end prompt from t""")
 def ing08(spark, d):
     i = F.col("doc_id")
-    t = X.table(spark, d, "documents").select("doc_id", F.concat(F.substring("text", 1, 40), F.when(i % 2 == 0, "? ").otherwise("")).alias("t"), F.when(i % 3 == 0, F.lower(F.substring("text", 5, 8))).otherwise(F.concat(F.lit("Sub "), i.cast("string"))).alias("s"))
+    t = X.table(spark, d, "documents").select("doc_id", F.concat("text", F.when(i % 2 == 0, "? ").otherwise("")).alias("t"), F.when(i % 3 == 0, F.upper("lang")).otherwise(F.concat(F.lit("Sub "), i.cast("string"))).alias("s"))
     return t.select("doc_id", ingest.rebuilt_prompt(F.col("t"), F.col("s")).alias("prompt"))
 
 
@@ -190,10 +190,10 @@ def ing19(spark, d):
     return X.table(spark, d, "orders").select("o_orderkey", F.sha2(p, 256).alias("h"))
 
 
-@query("ing07_numeric_titles", f"select doc_id, regexp_matches(t, '{ingest.NUMERIC_TITLE}') numeric from (select doc_id, case doc_id % 6 when 0 then 'Will X be above $' || doc_id when 1 then 'Rates up 5 percent?' when 2 then 'How many of them?' when 3 then 'Will it be between us?' when 4 then 'under 1,000.5' else substr(text, 1, 60) end t from documents)")
+@query("ing07_numeric_titles", f"select doc_id, regexp_matches(t, '{ingest.NUMERIC_TITLE}') numeric from (select doc_id, case doc_id % 6 when 0 then 'Will X be above $' || doc_id when 1 then 'Rates up 5 percent?' when 2 then 'How many of them?' when 3 then 'Will it be between us?' when 4 then 'under 1,000.5' else text end t from documents)")
 def ing07(spark, d):
     i = F.col("doc_id")
-    t = F.when(i % 6 == 0, F.concat(F.lit("Will X be above $"), i.cast("string"))).when(i % 6 == 1, "Rates up 5 percent?").when(i % 6 == 2, "How many of them?").when(i % 6 == 3, "Will it be between us?").when(i % 6 == 4, "under 1,000.5").otherwise(F.substring("text", 1, 60))
+    t = F.when(i % 6 == 0, F.concat(F.lit("Will X be above $"), i.cast("string"))).when(i % 6 == 1, "Rates up 5 percent?").when(i % 6 == 2, "How many of them?").when(i % 6 == 3, "Will it be between us?").when(i % 6 == 4, "under 1,000.5").otherwise(F.col("text"))
     return X.table(spark, d, "documents").select("doc_id", t.rlike(ingest.NUMERIC_TITLE).alias("numeric"))
 
 
@@ -263,8 +263,8 @@ def leak07(spark, d):
 
 @query("leak08_fuzzy_similarity")
 def leak08(spark, d):
-    docs = X.table(spark, d, "documents").select("doc_id", F.substring_index("text", ".", 1).alias("t"))
-    return docs.select("doc_id", F.round(leakage.best_similarity(F.col("t"), F.lit("the outcome was yes")), 6).alias("similarity"))
+    pages = X.table(spark, d, "conversations")
+    return pages.select("conv_id", "turn", F.round(leakage.best_similarity(F.col("text"), F.lit("the outcome was yes")), 6).alias("similarity"))
 
 
 @query("leak12_forecast_time", f"with {X.FORECAST} select case when as_of >= least(resolved_at, soft) then case when resolved_at <= soft then 'resolved_at' else 'soft_target_at' end end fault, count(*) n from (select *, as_of + to_days((l_linenumber * 10)::int) soft from fc) group by 1")
@@ -525,10 +525,10 @@ def str04(spark, d):
     return X.responses(spark, d).select("id", F.get(T.digit_positions(F.col("response")), F.lit(0)).alias("first_digit"))
 
 
-@query("str07_question_text", "select event_id, 'Will ' || event_type || ' be above ' || format('{:.2f}', value) || ' on ' || strftime(ts, '%Y-%m-%d') || '?' as text from events where round(value * 100, 6) % 1 = 0")
+@query("str07_question_text", "select event_id, 'Will ' || event_type || ' be above ' || floor(value)::bigint || ' on ' || strftime(ts, '%Y-%m-%d') || '?' as text from events")
 def str07(spark, d):
-    e = X.table(spark, d, "events").where("round(value * 100, 6) % 1 = 0")
-    return e.select("event_id", F.concat(F.lit("Will "), "event_type", F.lit(" be above "), F.format_string("%.2f", "value"), F.lit(" on "), F.date_format("ts", "yyyy-MM-dd"), F.lit("?")).alias("text"))
+    e = X.table(spark, d, "events")
+    return e.select("event_id", F.concat(F.lit("Will "), "event_type", F.lit(" be above "), F.floor("value").cast("string"), F.lit(" on "), F.date_format("ts", "yyyy-MM-dd"), F.lit("?")).alias("text"))
 
 
 @query("str06_json_fields", "select event_type, count(*) n, sum((props->>'$.k')::bigint)::bigint k from events group by 1")
@@ -599,15 +599,15 @@ def src03(spark, d):
     return files.done_ids(spark, path).agg(F.count("*").alias("n"))
 
 
-@query("snk01_eval_payload", f"select count(*) n, {R('avg(o_orderkey % 2)')} base_rate, sha256('[\"' || string_agg(q, '\", \"' order by q) || '\"]') content_hash from (select 'venue:' || o_orderkey q, o_orderkey from orders where o_orderkey % 40 = 1 or o_orderkey % 40 = 2)")
+@query("snk01_eval_payload", f"select count(*) n, {R('avg(c_custkey % 2)')} base_rate, sha256('[\"' || string_agg(q, '\", \"' order by q) || '\"]') content_hash from (select 'venue:' || c_custkey q, c_custkey from customer)")
 def snk01(spark, d):
-    o = X.table(spark, d, "orders").where("o_orderkey % 40 in (1, 2)").select(F.concat(F.lit("venue:"), F.col("o_orderkey").cast("string")).alias("question_id"), (F.col("o_orderkey") % 2).alias("outcome"))
+    o = X.table(spark, d, "customer").select(F.concat(F.lit("venue:"), F.col("c_custkey").cast("string")).alias("question_id"), (F.col("c_custkey") % 2).alias("outcome"))
     return rounded(files.eval_payload(o, {"duplicate_id": 0}, "published").select("n", "base_rate", "content_hash"))
 
 
-@query("src02_eval_set_round_trip", "select count(*) n, sum(o_orderkey % 2)::bigint outcomes from orders where o_orderkey % 40 = 1")
+@query("src02_eval_set_round_trip", "select count(*) n, sum(c_custkey % 2)::bigint outcomes from customer")
 def src02(spark, d):
-    o = X.table(spark, d, "orders").where("o_orderkey % 40 = 1").select(F.concat(F.lit("venue:"), F.col("o_orderkey").cast("string")).alias("question_id"), (F.col("o_orderkey") % 2).cast("int").alias("outcome"))
+    o = X.table(spark, d, "customer").select(F.concat(F.lit("venue:"), F.col("c_custkey").cast("string")).alias("question_id"), (F.col("c_custkey") % 2).cast("int").alias("outcome"))
     path = fresh_path(spark, "eval-set")
     files.eval_payload(o, {}, "published").write.json(path)
     return files.eval_set(spark, path).agg(F.count("*").alias("n"), F.sum("outcome").alias("outcomes"))
@@ -626,9 +626,9 @@ def src04(spark, d):
     return files.csv_series(spark, path, date_column="date", value_column="v").select(micros(F.col("ts")).alias("us"), "value")
 
 
-@query("src06_gzip_sweep", "select status, count(*) n from (select case when l_suppkey % 11 <> 0 then 'finalized' else 'active' end status from lineitem where l_linenumber = 1) group by 1")
+@query("src06_gzip_sweep", "select status, count(*) n from (select case when l_suppkey % 11 <> 0 then 'finalized' else 'active' end status from lineitem) group by 1")
 def src06(spark, d):
-    li = X.table(spark, d, "lineitem").where("l_linenumber = 1")
+    li = X.table(spark, d, "lineitem")
     path = fresh_path(spark, "sweep")
     li.select(F.to_json(F.struct(F.col("l_orderkey").cast("string").alias("ticker"), F.when(F.col("l_suppkey") % 11 != 0, "finalized").otherwise("active").alias("status"))).alias("value")).write.option("compression", "gzip").text(path)
     return files.market_sweep(spark, path).groupBy("status").agg(F.count("*").alias("n"))

@@ -90,6 +90,6 @@ class Encoder:
 def encoder(path: str, words: bool) -> Encoder:
     """One for each worker process and file."""
     kept = stash()
-    if (path, words) not in kept:
-        kept[path, words] = Encoder(path, words)
-    return kept[path, words]
+    if ("encoder", path, words) not in kept:
+        kept["encoder", path, words] = Encoder(path, words)
+    return kept["encoder", path, words]

@@ -5,6 +5,7 @@ Every function here works on whole texts. ``slices`` only bounds how many texts
 
 from __future__ import annotations
 
+import ctypes
 import sys
 
 import numpy as np
@@ -19,6 +20,17 @@ def stash() -> dict:
     return sys.__dict__.setdefault("_haruspex_stash", {})
 
 
+def tidy(owner: str | None) -> None:
+    """Drop what other operators have stashed in this worker, and give freed memory back to the system."""
+    kept = stash()
+    for key in [k for k in kept if k != "powers" and (k if isinstance(k, str) else k[0]) != owner]:
+        del kept[key]
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def lower_ascii() -> bytes:
     """Translation table: A-Z to a-z, other bytes unchanged."""
     return bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -35,8 +47,12 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def slices(batches, name: str = "text", step: int = STEP_BYTES):
-    """Pieces of the batches with about ``step`` bytes of text each, as (batch, texts)."""
+def slices(batches, name: str = "text", step: int = STEP_BYTES, owner: str | None = None):
+    """Pieces of the batches with about ``step`` bytes of text each, as (batch, texts).
+
+    owner: whose stashed data the caller uses; what others have left goes first, so workers hold one operator's.
+    """
+    tidy(owner)
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -49,6 +65,8 @@ def slices(batches, name: str = "text", step: int = STEP_BYTES):
                 lo, size = i + 1, 0
         if lo < len(all_texts):
             yield batch.slice(lo), all_texts[lo:]
+        del batch, all_texts
+    tidy(owner)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

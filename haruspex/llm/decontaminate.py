@@ -144,7 +144,7 @@ def _scan(items: list[tuple[int, bytes]], whole: bool):
             kept["benchmark"] = (key, Benchmark(items))
         bench, table = kept["benchmark"][1], alnum_ascii()
         known = bench.vocabulary.get
-        for batch, parts in slices(batches):
+        for batch, parts in slices(batches, owner="benchmark"):
             split = [t.translate(table).split() for t in parts]
             counts = np.fromiter(map(len, split), np.int64, len(split))
             flat = [known(w, 0) for ws in split for w in (*ws, b"")]
@@ -202,7 +202,7 @@ def _clean(items: list[tuple[int, bytes]], text: str):
     scan = _scan(items, True)
 
     def run(batches):
-        for batch, _ in slices(batches, text):
+        for batch, _ in slices(batches, text, owner="benchmark"):
             own = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(text).cast(pa.string())], names=["doc_id", "text"])
             hit = np.concatenate([x.column("contaminated").to_numpy(zero_copy_only=False) for x in scan([own])])
             yield batch.filter(pa.array(~hit))

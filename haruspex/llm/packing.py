@@ -187,7 +187,7 @@ def _tokens(tokenizer: str, words: bool, end_id: int):
 
     def run(batches):
         encode = encoder(tokenizer, words)
-        for batch, parts in slices(batches):
+        for batch, parts in slices(batches, owner="encoder"):
             ids = [encode.ids(t) + end for t in parts]
             narrow = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(narrow, pa.binary())], names=["rid", "doc_id", "n", "ids"])

@@ -142,7 +142,7 @@ def _writer(folder: str, tokenizer: str, words: bool, end_id: int, width: int):
             doc_ids, ids, held, k = [], [], 0, k + 1
             return row
 
-        for batch, parts in slices(batches):
+        for batch, parts in slices(batches, owner="encoder"):
             for d, t in zip(batch.column("doc_id").to_pylist(), parts):
                 if held >= SHARD_IDS:
                     yield flush()

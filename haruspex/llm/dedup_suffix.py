@@ -12,16 +12,17 @@ dictionary and parse:
 * the parse key, of the 105 bytes from the trigger on, which all strings of the phrase's starts share;
 * the phrase key, of the phrase's whole context (from its first start to the end of its last string).
 
-Triggers are sorted by (parse key, phrase key), rows of equal parse key being the only candidates. Keys are
-Karp-Rabin fingerprints of 64 bits, so this order groups as the lexicographic one does; only equality at a depth
-of 200 bytes is asked for, and the order within groups is not. Equal neighbours in both keys: every string
-of the phrase is repeated. A parse key with several contexts: one row of each context is opened into its
-strings (96 at most), which are sorted once more by their own fingerprint.
-
-Sorted streams are read in batches with one row of state, so a key of any size needs no memory. No group is
-collected, and no pairs are made. Before rows move, each step of a batch keeps two rows of equal keys: more are
-known to be repeated there and then, and travel by their document, so that no key is hot. Texts move twice,
-compressed, to be opened and to be cut.
+Triggers are sorted by (parse key, phrase key), rows of equal parse key being the only candidates. Both keys are
+Karp-Rabin fingerprints of 64 bits, which group as lexicographic ranks do. Equal neighbours in both keys: every
+string of the phrase is repeated. A parse key with several contexts: they are that key's dictionary, one row of
+each, and the suffix array of the dictionary (all starts of its phrases, sorted by their bytes) puts repeated
+strings next to each other, with a common prefix of 200 bytes or more.
+
+Sorted streams are read in batches with one row of state, so a key of any size needs no memory, and no pairs are
+made. A dictionary of more than ``CROWD`` contexts (a line that very many documents share) is never gathered: its
+strings are dealt by their own fingerprints, and equal neighbours are the repeated ones. Before rows move, each
+step of a batch keeps two rows of equal keys: more are known to be repeated there and then, and travel by their
+document, so that no key is hot. Texts move twice, compressed, to be opened and to be cut.
 
 Edge cases: null and empty texts have no bytes (the hash of nothing); texts under 200 bytes stay whole;
 repeated rows are copies of each other; an empty table gives an empty result; extra columns are ignored.
@@ -42,6 +43,10 @@ REACH = 96
 GRAM = 16
 #: Bytes of one text that are hashed at a time.
 CHUNK = 4 << 20
+#: Contexts that a dictionary may have to be suffix-sorted in one task (300 bytes each).
+CROWD = 512
+#: Strings that are sorted at a time, of one dictionary or of many.
+SORT = 1 << 15
 
 
 class Shape:
@@ -196,50 +201,128 @@ def _order(batches):
 def _kinds(rows, kind):
     on = np.flatnonzero(kind)
     if len(on):
-        yield pa.RecordBatch.from_arrays([pa.array(rows[2][on]), pa.array(rows[3][on]), pa.array(kind[on].astype(np.int32))], names=["rid", "at", "kind"])
+        k = np.where(kind[on] >= OPEN, rows[0][on], 0)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[2][on]), pa.array(rows[3][on]), pa.array(kind[on].astype(np.int32)), pa.array(k)], names=["rid", "at", "kind", "k"])
+
 
+OPENED = ["known", "k", "c", "rid", "at", "context"]
 
-def _strings(shape: Shape):
-    """Fingerprints of all strings of the opened phrases."""
+
+def _contexts(shape: Shape):
+    """Opened phrases: contexts of small dictionaries to sort by parse key, strings of crowded ones by fingerprint (c = 1)."""
 
     def run(batches):
         for batch, parts in _unpacked(batches):
-            rid, lo, size, buffers = [], [], [], []
+            rows, rid, lo, size, buffers = ([], [], [], [], []), [], [], [], []
             for r, text, places in zip(batch.column("rid").to_pylist(), parts, batch.column("places")):
-                at = places.values.to_numpy()
+                at = places.values.field("at").to_numpy()
+                k, crowded = places.values.field("k").to_numpy(), places.values.field("crowded").to_numpy(zero_copy_only=False)
                 a, n = at >> BITS, at & (1 << BITS) - 1
-                rid.append(np.full(len(a), r))
-                lo.append(a)
-                size.append(n)
-                # contexts side by side: only their own bytes are hashed
-                buffers.append(np.frombuffer(text, np.uint8)[stretches(a, a + n - 1 + shape.length)])
-            rid, lo, n, buffer = map(np.concatenate, (rid, lo, size, buffers))
-            begin = np.concatenate(([0], np.cumsum(n - 1 + shape.length)[:-1]))
-            starts = stretches(begin, begin + n)
-            w = RollingHash(buffer).of(starts, starts + shape.length).view(np.int64)
-            yield from _dealt(w, np.zeros(len(w), np.int64), np.repeat(rid, n), stretches(lo, lo + n), np.ones(len(w), np.int64), ROWS)
+                for i in np.flatnonzero(~crowded).tolist():
+                    for x, v in zip(rows, (k[i], r, at[i], text[a[i] : a[i] + n[i] - 1 + shape.length])):
+                        x.append(v)
+                if crowded.any():
+                    a, n = a[crowded], n[crowded]
+                    rid.append(np.full(len(a), r))
+                    lo.append(a)
+                    size.append(n)
+                    # contexts side by side: only their own bytes are hashed
+                    buffers.append(np.frombuffer(text, np.uint8)[stretches(a, a + n - 1 + shape.length)])
+            m = len(rows[0])
+            if m:
+                k, r, at = (pa.array(x, pa.int64()) for x in rows[:3])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, bool)), k, pa.array(np.zeros(m, np.int64)), r, at, pa.array(rows[3], pa.binary())], names=OPENED)
+            if rid:
+                rid, lo, n, buffer = map(np.concatenate, (rid, lo, size, buffers))
+                begin = np.concatenate(([0], np.cumsum(n - 1 + shape.length)[:-1]))
+                starts = stretches(begin, begin + n)
+                w = RollingHash(buffer).of(starts, starts + shape.length).view(np.int64)
+                for out in _dealt(w, np.ones(len(w), np.int64), np.repeat(rid, n), stretches(lo, lo + n), np.ones(len(w), np.int64), ROWS):
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.nulls(out.num_rows, pa.binary())], names=OPENED)
 
     return run
 
 
-def _twice(batches):
-    """Rows in order of w: those whose w occurs again. A run's first row waits for the second."""
-    held, seen = None, False
-    for known, rows in _sorted_rows(batches):
-        if known:
-            yield pa.RecordBatch.from_arrays([pa.array(rows[2]), pa.array(rows[3])], names=["rid", "at"])
-            continue
-        if held is not None:
-            rows = [np.concatenate((a, b)) for a, b in zip(held, rows)]
-        same = rows[0][1:] == rows[0][:-1]
-        hit = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        if seen:
-            hit[0] = False  # the waiting row has left already
-        seen = bool(hit[-1] or (len(hit) == 1 and seen))
-        held = [x[-1:] for x in rows]
-        on = np.flatnonzero(hit)
-        if len(on):
-            yield pa.RecordBatch.from_arrays([pa.array(rows[2][on]), pa.array(rows[3][on])], names=["rid", "at"])
+def suffix_order(contexts: list[bytes], n: np.ndarray, dictionary: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix array, common prefix of each with the one before it, up to length) of the first n starts of contexts.
+
+    dictionary: the number of each context's dictionary; suffixes are sorted within it, and prefixes end at its border.
+    """
+    buffer = np.frombuffer(b"".join(contexts), np.uint8)
+    size = np.fromiter(map(len, contexts), np.int64, len(contexts))
+    begin = np.concatenate(([0], np.cumsum(size)[:-1]))
+    starts = stretches(begin, begin + n)
+    own = np.repeat(dictionary.astype(">u4"), n)
+    rows = np.empty((len(starts), 4 + length), np.uint8)
+    rows[:, :4] = own.view(np.uint8).reshape(-1, 4)
+    rows[:, 4:] = np.lib.stride_tricks.sliding_window_view(buffer, length)[starts]
+    order = np.argsort(rows.view(f"S{4 + length}").ravel(), kind="stable")
+    rows = rows[order]
+    differs = rows[1:] != rows[:-1]
+    common = np.where(differs.any(axis=1), differs.argmax(axis=1), 4 + length) - 4
+    return order, np.concatenate(([0], np.maximum(common, 0)))
+
+
+def _repeated(k: np.ndarray, rid: np.ndarray, at: np.ndarray, contexts: list[bytes], length: int):
+    """Repeated strings of whole dictionaries, as runs of starts."""
+    n = at & (1 << BITS) - 1
+    new = np.concatenate(([True], k[1:] != k[:-1]))
+    order, common = suffix_order(contexts, n, np.cumsum(new), length)
+    twice = common >= length
+    hit = np.zeros(len(order), bool)
+    hit[order] = twice | np.concatenate((twice[1:], [False]))
+    start, row = stretches(at >> BITS, (at >> BITS) + n)[hit], np.repeat(np.arange(len(k)), n)[hit]
+    if not len(start):
+        return
+    first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1))))
+    total = np.diff(np.append(first, len(start)))
+    yield pa.RecordBatch.from_arrays([pa.array(rid[row[first]]), pa.array(_packed(start[first], total))], names=["rid", "at"])
+
+
+def _settle(length: int):
+    """Repeated strings of opened phrases. Rows come sorted: dictionaries by parse key, then strings by fingerprint, then known rows."""
+
+    def run(batches):
+        held: list | None = None  # contexts not yet sorted; the last dictionary may go on
+        waiting, seen = None, False  # first string of a run, and whether it has left
+        for batch in batches:
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            known = rows[0].astype(bool)
+            crowded = ~known & (rows[2] == 1)
+            small = np.flatnonzero(~known & ~crowded)
+            if len(small):
+                now = [rows[1][small], rows[3][small], rows[4][small], batch.column("context").take(pa.array(small)).to_pylist()]
+                held = now if held is None else [*[np.concatenate(x) for x in zip(held[:3], now[:3])], held[3] + now[3]]
+                while (cut := _whole_dictionaries(held)) > 0:
+                    yield from _repeated(*[x[:cut] for x in held], length)
+                    held = [x[cut:] for x in held]
+            if crowded.any():
+                own = [x[crowded] for x in (rows[1], rows[3], rows[4])]
+                if waiting is not None:
+                    own = [np.concatenate((a, b)) for a, b in zip(waiting, own)]
+                same = own[0][1:] == own[0][:-1]
+                hit = np.concatenate((same, [False])) | np.concatenate(([False], same))
+                last = bool(hit[-1] or (len(hit) == 1 and seen))
+                if seen:
+                    hit[0] = False  # the waiting row has left already
+                seen, waiting, on = last, [x[-1:] for x in own], np.flatnonzero(hit)
+                if len(on):
+                    yield pa.RecordBatch.from_arrays([pa.array(own[1][on]), pa.array(own[2][on])], names=["rid", "at"])
+            if known.any():
+                yield pa.RecordBatch.from_arrays([pa.array(rows[3][known]), pa.array(rows[4][known])], names=["rid", "at"])
+        if held is not None and len(held[0]):
+            yield from _repeated(*held, length)
+
+    return run
+
+
+def _whole_dictionaries(held: list) -> int:
+    """How many of the held contexts to sort now: dictionaries that have ended, about SORT strings; 0 to wait for more."""
+    k, n = held[0], np.cumsum(held[2] & (1 << BITS) - 1)
+    ends = np.flatnonzero(k[1:] != k[:-1]) + 1
+    if not len(ends) or n[ends[-1] - 1] < SORT:
+        return 0
+    return int(ends[np.searchsorted(n[ends - 1], SORT)])
 
 
 def _pack(batches):
@@ -293,12 +376,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     rows = rows.withColumn("rid", F.monotonically_increasing_id())
     sort = "known boolean, k long, c long, rid long, at long"
     parsed = rows.select("rid", "text").mapInArrow(_parse(shape), sort)
-    ordered = parsed.repartition("k").sortWithinPartitions("known", "k", "c").mapInArrow(_order, "rid long, at long, kind int")
+    ordered = parsed.repartition("k").sortWithinPartitions("known", "k", "c").mapInArrow(_order, "rid long, at long, kind int, k long")
     ordered = materialise(ordered, "suffix-order")
     packed = rows.mapInArrow(_pack, "rid long, doc_id long, z binary")
-    opened = ordered.where(F.col("kind") >= OPEN).groupBy("rid").agg(F.collect_list("at").alias("places"))
-    strings = packed.select("rid", "z").join(opened, "rid").mapInArrow(_strings(shape), sort)
-    again = strings.repartition("k").sortWithinPartitions("known", "k").mapInArrow(_twice, "rid long, at long")
+    opened = ordered.where(F.col("kind") >= OPEN).select("k", "rid", "at")
+    crowd = opened.groupBy("k").count().where(F.col("count") > CROWD).select("k", F.lit(True).alias("crowded"))
+    opened = opened.join(crowd, "k", "left").select("rid", F.struct("k", "at", F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("place"))
+    opened = opened.groupBy("rid").agg(F.collect_list("place").alias("places"))
+    contexts = packed.select("rid", "z").join(opened, "rid").mapInArrow(_contexts(shape), f"{sort}, context binary")
+    again = contexts.repartition("k").sortWithinPartitions("known", "c", "k").mapInArrow(_settle(shape.length), "rid long, at long")
     again = materialise(again, "suffix-again")
     whole = ordered.where(F.col("kind").isin(WHOLE, BOTH)).select("rid", "at").unionByName(again)
     places = whole.groupBy("rid").agg(F.collect_list("at").alias("places"))

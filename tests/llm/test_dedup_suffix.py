@@ -40,8 +40,25 @@ def corpus(seed, length):
     return [(i if i % 7 else None, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("length,reach,gram", [(24, 11, 4), (200, 96, 16)])
-def test_against_brute_force(spark, monkeypatch, length, reach, gram):
+def test_suffix_array_of_dictionaries():
+    rnd = random.Random(6)
+    contexts = ["".join(rnd.choices("ab\0", k=rnd.randrange(12, 30))).encode() for _ in range(12)] + [b"ab" * 10]
+    n = np.array([len(c) - 9 for c in contexts])
+    own = np.array([1] * 5 + [2] * 4 + [7] * 4)
+    every = [(o, c[i : i + 10]) for o, c, k in zip(own, contexts, n) for i in range(k)]
+    order, common = m.suffix_order(contexts, n, own, 10)
+    assert [every[i] for i in order] == sorted(every)
+
+    def shared(x, y):
+        return 0 if x[0] != y[0] else next((i for i in range(10) if x[1][i] != y[1][i]), 10)
+
+    assert common.tolist() == [0] + [shared(every[a], every[b]) for a, b in zip(order, order[1:])]
+
+
+@pytest.mark.parametrize("length,reach,gram,crowd,sort", [(24, 11, 4, 512, 1 << 15), (24, 11, 4, 1, 64), (24, 11, 4, 3, 8), (200, 96, 16, 512, 500)])
+def test_against_brute_force(spark, monkeypatch, length, reach, gram, crowd, sort):
+    monkeypatch.setattr(m, "CROWD", crowd)
+    monkeypatch.setattr(m, "SORT", sort)
     rows = corpus(length, length)
     df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, kept int").repartition(3)
     got = [(r.doc_id, r.n_bytes, bytes(r.kept), [tuple(x) for x in r.spans]) for r in remove_repeats(df, shape=Shape(length, reach, gram)).collect()]

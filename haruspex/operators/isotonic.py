@@ -105,18 +105,41 @@ def fold_points(df: DataFrame, question: str, p: str, y: str, k: int = 5, stratu
     return df.select(fold(F.col(question), k).alias("fold"), s.alias("stratum"), F.col(p).alias("p"), F.col(y).cast("long").alias("y")).groupBy("fold", "stratum", "p").agg(F.count("*").alias("n"), F.sum("y").alias("sy"))
 
 
-def cross_fit(points: DataFrame, k: int = 5, minimum_stratum: int = 10_000, few: int | None = None) -> DataFrame:
-    """(fold, stratum, p, own_fit): each fold corrected by maps fitted on all others.
+def isotonic_maps(few: int | None = None) -> Callable[[DataFrame, list[str]], DataFrame]:
+    """A fitter: points (group, p, n, sy) to one map (group, edges, values) a group."""
+    return lambda points, group: as_map(blocks(points, group, few), group)
 
-    A stratum with at least minimum_stratum training rows has maps of its own; others use the fold's.
+
+def beta_maps(points: DataFrame, group: list[str]) -> DataFrame:
+    """A fitter by beta calibration; its map is tabulated at the group's own forecasts."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        pdf = pdf.sort_values("p")
+        a, b, c = fit_beta(pdf["p"], pdf["sy"], pdf["n"])
+        p = np.clip(pdf["p"].to_numpy(), 1e-4, 1 - 1e-4)
+        q = 1 / (1 + np.exp(-np.clip(a * np.log(p) - b * np.log(1 - p) + c, -30, 30)))
+        return pd.DataFrame({**{g: [pdf[g].iloc[0]] for g in group}, "edges": [pdf["p"].tolist()[:-1]], "values": [q.tolist()]})
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields if f.name in group)
+    return points.groupBy(*group).applyInPandas(fit, f"{kinds}, edges array<double>, values array<double>")
+
+
+def cross_fit(points: DataFrame, k: int = 5, minimum_stratum: int = 10_000, few: int | None = None, fitter: Callable[[DataFrame, list[str]], DataFrame] | None = None) -> DataFrame:
+    """(fold, stratum, p, n, sy, fit): each fold corrected by maps fitted on all others.
+
+    A stratum with at least minimum_stratum training rows has maps of its own; others use the fold's. Both are
+    fitted by the fitter, isotonic unless another is given.
     """
+    fitter = fitter or isotonic_maps(few)
     held = points.sparkSession.range(k).select(F.col("id").cast("int").alias("held"))
     rest = points.crossJoin(F.broadcast(held)).where("fold != held")
     whole = rest.groupBy("held", "p").agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"))
-    maps = as_map(blocks(whole, ["held"], few), ["held"])
+    maps = fitter(whole, ["held"])
     each = rest.where("stratum is not null").groupBy("held", "stratum", "p").agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"))
     big = each.groupBy("held", "stratum").agg(F.sum("n").alias("t")).where(F.col("t") >= minimum_stratum).select("held", "stratum")
-    own = as_map(blocks(each.join(big, ["held", "stratum"]), ["held", "stratum"], few), ["held", "stratum"]).select("held", "stratum", F.col("edges").alias("own_edges"), F.col("values").alias("own_values"))
+    own = fitter(each.join(big, ["held", "stratum"]), ["held", "stratum"]).select("held", "stratum", F.col("edges").alias("own_edges"), F.col("values").alias("own_values"))
     rows = points.select(F.col("fold").alias("held"), "stratum", "p", "n", "sy").join(maps, "held").join(own, ["held", "stratum"], "left")
     fit = F.coalesce(apply_map(F.col("p"), F.col("own_edges"), F.col("own_values")), apply_map(F.col("p"), F.col("edges"), F.col("values")))
     return rows.select(F.col("held").alias("fold"), "stratum", "p", "n", "sy", fit.alias("fit"))

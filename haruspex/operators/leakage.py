@@ -150,6 +150,21 @@ def binomial_upper(n: Column, p: float, alpha: float = 0.05) -> Column:
     return F.aggregate(F.sequence(F.lit(0).cast("long"), n.cast("long")), start, step, lambda a: F.when(a["k"] < 0, n).otherwise(a["k"]))
 
 
+def normal_cdf(x: float) -> float:
+    """Of a literal, on the driver: Spark has no error function."""
+    return (1 + math.erf(x / math.sqrt(2))) / 2
+
+
+def null_threshold(cases: DataFrame, method: str = "quantile", q: float = 0.95, z: float = 1.96, group: tuple[str, ...] = ()) -> DataFrame:
+    """(group, threshold, n, expected_rate): the null's quantile, or its mean and z deviations; over one case an error."""
+    if method not in ("quantile", "normal"):
+        raise ValueError(f"no such method: {method}")
+    value = F.percentile("delta", q) if method == "quantile" else F.avg("delta") + z * F.stddev_samp("delta")
+    rate = 1 - q if method == "quantile" else 1 - normal_cdf(z)
+    n = F.count("*")
+    return cases.groupBy(*group).agg(F.when(n > 1, value).otherwise(F.raise_error(F.lit("one null case gives no threshold")).cast("double")).alias("threshold"), n.alias("n"), F.lit(rate).alias("expected_rate"))
+
+
 def null_gate(cases: DataFrame, q: float = 0.95, alpha: float = 0.05) -> DataFrame:
     """Adversarial cases beyond the null's quantile against what chance allows; passed if no more."""
     threshold = cases.where("label = 'null'").agg(F.percentile("delta", q).alias("threshold"), F.count("*").alias("n_null"))

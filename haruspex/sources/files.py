@@ -17,8 +17,9 @@ BAD = "_bad"
 
 def jsonl(spark, path: str, schema: str) -> DataFrame:
     """Rows of JSON lines (plain or gzip); lines that don't parse, a cut-off last one too, are left out."""
-    rows = spark.read.schema(f"{schema}, {BAD} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).json(path)
-    return rows.where(F.col(BAD).isNull()).drop(BAD)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
+    rows = spark.read.text(path).where(F.trim("value") != "")
+    return rows.select(F.from_json("value", f"{schema}, {BAD} string", options).alias("x")).where(f"x.{BAD} is null").select("x.*").drop(BAD)
 
 
 def forecasts(spark, path: str) -> DataFrame:

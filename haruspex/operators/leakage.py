@@ -84,16 +84,27 @@ def scan_form(text: Column) -> Column:
 def match_outcomes(docs: DataFrame, forms: DataFrame, snippet: str = "snippet", form: str = "form", strictness: str = "normalized") -> DataFrame:
     """Documents joined with the outcome strings that they hold: exact, or normalized as well (matched_as says which).
 
-    forms is a stated set of queries and is broadcast; blank forms match nothing.
+    forms is a stated set of queries and is broadcast; blank forms match nothing. The words inside a form, but for its
+    first and last, must be whole words of a document that holds it. So a form of three words or more is looked up by
+    the longest of them, and compared only with documents that have that word; shorter ones are compared with all.
     """
     if strictness not in ("exact", "normalized"):
         raise ValueError("fuzzy matching needs best_similarity and a threshold")
-    f = forms.where(F.trim(form) != "").withColumn("_form", scan_form(F.col(form)))
+    words = F.split("_form", " ")
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    f = forms.where(F.trim(form) != "").withColumn("_form", scan_form(F.col(form))).withColumn("_anchor", longest)
     d = docs.withColumn("_doc", scan_form(F.col(snippet)))
     exact = F.contains(F.col(snippet), F.col(form))
     loose = (F.col("_form") != "") & F.contains(F.col("_doc"), F.col("_form"))
-    rows = d.join(F.broadcast(f), exact | loose if strictness == "normalized" else exact)
-    return rows.withColumn("matched_as", F.when(exact, "exact").otherwise("normalized")).drop("_doc", "_form")
+    holds = exact | loose if strictness == "normalized" else exact
+    anchored = f.where("_anchor is not null")
+    anchors = anchored.agg(F.collect_set("_anchor").alias("_anchors"))
+    some = d.crossJoin(F.broadcast(anchors)).withColumn("_hit", F.array_intersect(F.split("_doc", " "), F.col("_anchors"))).where(F.size("_hit") > 0)
+    some = some.withColumn("_anchor", F.explode("_hit")).drop("_hit", "_anchors").join(F.broadcast(anchored), "_anchor").where(holds)
+    rest = d.join(F.broadcast(f.where("_anchor is null")), holds)
+    rows = some.unionByName(rest.select(*some.columns))
+    return rows.withColumn("matched_as", F.when(exact, "exact").otherwise("normalized")).drop("_doc", "_form", "_anchor")
 
 
 def best_similarity(snippet: Column, form: Column) -> Column:

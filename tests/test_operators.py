@@ -277,3 +277,27 @@ def test_streams_match_their_batch_forms(spark, tmp_path):
     for k in "ab":
         twins.accrue(stream, f"{tmp_path}/out", f"{tmp_path}/cp-{k}", F.col("p") > 0.2).awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 5
+
+
+def test_outcome_strings_against_a_plain_scan(spark):
+    rnd = random.Random(4)
+    w = ["yes", "No", "3.4%", "rates,", "rose", "(by)", "ß", "x"]
+    docs = [(i, " ".join(rnd.choices(w, k=12)) + rnd.choice(["", "!", " tail"])) for i in range(60)] + [(99, None)]
+    forms = [(i, " ".join(rnd.choices(w, k=k))) for i, k in enumerate([1, 2, 3, 3, 4, 4, 5])] + [(20, " "), (21, "!"), (22, "ES rates rose B"), (23, None)]
+    d, f = spark.createDataFrame(docs, "d int, snippet string"), spark.createDataFrame(forms, "f int, form string")
+
+    def plain(t):
+        return " ".join("".join(c if c.isalnum() or c in ".%" else " " for c in t.casefold()).split())
+
+    for strictness in ("exact", "normalized"):
+        want = set()
+        for i, t in docs:
+            for j, x in forms:
+                if t is None or x is None or not x.strip():
+                    continue
+                if x in t:
+                    want.add((i, j, "exact"))
+                elif strictness == "normalized" and plain(x) and plain(x) in plain(t):
+                    want.add((i, j, "normalized"))
+        got = {(r.d, r.f, r.matched_as) for r in leakage.match_outcomes(d, f, strictness=strictness).collect()}
+        assert got == want and want

@@ -45,6 +45,8 @@ GRAM = 16
 CHUNK = 4 << 20
 #: Contexts that a dictionary may have to be suffix-sorted in one task (300 bytes each).
 CROWD = 512
+#: Parts that the rows of a crowded dictionary are dealt to.
+SALTS = 32
 #: Strings that are sorted at a time, of one dictionary or of many.
 SORT = 1 << 15
 
@@ -380,8 +382,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     ordered = materialise(ordered, "suffix-order")
     packed = rows.mapInArrow(_pack, "rid long, doc_id long, z binary")
     opened = ordered.where(F.col("kind") >= OPEN).select("k", "rid", "at")
-    crowd = opened.groupBy("k").count().where(F.col("count") > CROWD).select("k", F.lit(True).alias("crowded"))
-    opened = opened.join(crowd, "k", "left").select("rid", F.struct("k", "at", F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("place"))
+    crowd = opened.groupBy("k").count().where(F.col("count") > CROWD)
+    # a crowded key's rows are dealt over SALTS partitions; there are few such keys, at most one in CROWD rows
+    crowd = crowd.select("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), F.lit(True).alias("crowded"))
+    opened = opened.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)))
+    opened = opened.join(crowd, ["k", "salt"], "left").select("rid", F.struct("k", "at", F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("place"))
     opened = opened.groupBy("rid").agg(F.collect_list("place").alias("places"))
     contexts = packed.select("rid", "z").join(opened, "rid").mapInArrow(_contexts(shape), f"{sort}, context binary")
     again = contexts.repartition("k").sortWithinPartitions("known", "c", "k").mapInArrow(_settle(shape.length), "rid long, at long")

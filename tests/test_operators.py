@@ -301,3 +301,12 @@ def test_outcome_strings_against_a_plain_scan(spark):
                     want.add((i, j, "normalized"))
         got = {(r.d, r.f, r.matched_as) for r in leakage.match_outcomes(d, f, strictness=strictness).collect()}
         assert got == want and want
+
+
+def test_written_tables_can_be_released(spark):
+    from haruspex import storage
+
+    df = storage.materialise(spark.range(3).toDF("x"), "released")
+    assert df.count() == 3 and storage.release(spark) >= 1 and storage.release(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.parquet(df.inputFiles()[0])

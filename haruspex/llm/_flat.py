@@ -10,6 +10,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that one step of a batch handles; a longer single text is handled alone.
 STEP_BYTES = 1 << 20
@@ -56,16 +57,14 @@ def slices(batches, name: str = "text", step: int = STEP_BYTES, owner: str | Non
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        all_texts = texts(batch.column(name))
-        lo = size = 0
-        for i, t in enumerate(all_texts):
-            size += len(t)
-            if size >= step:
-                yield batch.slice(lo, i + 1 - lo), all_texts[lo : i + 1]
-                lo, size = i + 1, 0
-        if lo < len(all_texts):
-            yield batch.slice(lo), all_texts[lo:]
-        del batch, all_texts
+        column = batch.column(name)
+        total = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < batch.num_rows:  # only one piece at a time becomes Python objects
+            hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + step)) + 1
+            yield batch.slice(lo, hi - lo), texts(column.slice(lo, hi - lo))
+            lo = hi
+        del batch, column
     tidy(owner)
 
 

@@ -197,7 +197,7 @@ def _tokens(tokenizer: str, words: bool, end_id: int):
 
 def _cutter(length: int, first: int):
     def run(batches):
-        for b in batches:
+        for b in (x.slice(i, 500) for x in batches for i in range(0, x.num_rows, 500)):
             rows = {k: [] for k in ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")}
             for doc_id, n, ids, blocks, own in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n", "ids", "blocks", "own"))):
                 wide = np.frombuffer(ids, "<u2").astype("<u4")

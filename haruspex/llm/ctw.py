@@ -7,9 +7,11 @@ half its own estimate and half the product of its children's, which says how far
 root down, estimates of all depths are mixed by these weights, and the deepest context seen takes what is left.
 The sum over bits is the code length of a byte, and the score is the log10 probability of the text.
 
-Counts of contexts and words are gathered from the whole training corpus and summed by Spark. What is broadcast is
-bounded: ``GRAMS`` most frequent byte strings (rarer ones count in shorter contexts), a table of ``SLOTS`` nodes,
-and ``WORDS`` most frequent words; counts of all other words are joined.
+Counts of contexts and words are gathered from the whole training corpus and summed by Spark; none is cut off. The
+distinct byte strings of all rows, learnt from or not, are dealt by their last two bytes of context: all nodes of
+depths 2 and more are then in one task, which mixes them for its own strings. Depths 0 and 1 (65,536 nodes at
+most) are summed from these and mixed in afterwards. Scores of the ``GRAMS`` most frequent byte strings and counts
+of the ``WORDS`` most frequent words are broadcast; all others are joined, with the same result.
 
 Edge cases: null and empty texts hold the end mark alone; null doc_ids are never held out; repeated rows keep
 their rows; without training rows all estimates are one half; an empty table gives an empty result; extra columns
@@ -29,11 +31,11 @@ from ._labelled import remainder
 
 DEPTH = 5
 GRAMS = 1 << 20
-SLOTS = 1 << 23
-GRAM_SLOTS = 1 << 21
 WORDS = 1 << 20
-#: Depths to which grams are cut, and how many are held at each; the last is complete in any case.
-TIERS = ((DEPTH, GRAMS), (3, GRAMS // 4), (1, 1 << 16))
+#: Nodes of this depth and deeper are dealt over tasks, by as many bytes of context.
+DEALT = 2
+#: Byte strings whose nodes a task holds at a time, beyond those of one context.
+STRINGS = 1 << 18
 
 
 def normal_form(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,22 +68,30 @@ def words_of(buffer: np.ndarray, first: np.ndarray, ends: np.ndarray) -> tuple[n
 
 
 def _counts(batches):
-    """(kind 0 word or 1 gram, key, n) of a task, summed before they leave it."""
-    kept = {0: [], 1: []}
+    """(kind 1 word or 2 gram, key, n) of a task, summed before they leave it; grams of rows not learnt from count 0."""
+    kept = {1: [], 2: []}
 
     def merged(kind):
         k = np.concatenate([x[0] for x in kept[kind]])
         n = np.concatenate([x[1] for x in kept[kind]])
         u, at = np.unique(k, return_inverse=True)
-        kept[kind] = [(u, np.bincount(at, n).astype(np.int64))]
-
-    for _, parts in slices(batches):
-        buffer, first, ends = normal_form(parts)
-        for kind, x in ((0, words_of(buffer, first, ends)[0]), (1, grams_of(buffer, first, ends))):
-            kept[kind].append(np.unique(x, return_counts=True))
+        kept[kind] = [(u, np.bincount(at, n, len(u)).astype(np.int64))]
+
+    for batch, parts in slices(batches):
+        learnt = batch.column("train").to_pylist()
+        for train in (True, False):
+            own = [t for t, x in zip(parts, learnt) if bool(x) == train]
+            if not own:
+                continue
+            buffer, first, ends = normal_form(own)
+            if train:
+                kept[1].append(np.unique(words_of(buffer, first, ends)[0], return_counts=True))
+            u, n = np.unique(grams_of(buffer, first, ends), return_counts=True)
+            kept[2].append((u, n if train else np.zeros(len(u), np.int64)))
+        for kind in (1, 2):
             if sum(len(y[0]) for y in kept[kind][1:]) > 1 << 20:
                 merged(kind)
-    for kind in (0, 1):
+    for kind in (1, 2):
         if kept[kind]:
             merged(kind)
             k, n = kept[kind][0]
@@ -108,162 +118,250 @@ def node_keys(context_and_byte: np.ndarray, depth: int, bit: int) -> np.ndarray:
     return context << np.uint64(8) | (byte | np.uint64(256)) >> np.uint64(8 - bit)
 
 
-def _slot(keys: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    h = mixed(keys * np.uint64(8) + np.uint64(depth))
-    return (h & np.uint64(SLOTS - 1)).astype(np.int64), (h >> np.uint64(48) | np.uint64(1)).astype(np.uint16)
-
-
 class ContextTree:
-    """Nodes in slots: a tag, the estimate of a one in 65,536ths and the trust in 255ths; and frequent grams' scores."""
-
-    def __init__(self, tiers: list[tuple[int, np.ndarray, np.ndarray]]):
-        """tiers: (depth, grams, counts), deepest first; each gram's counts hold in its depth and all above."""
-        nodes = [[] for _ in range(DEPTH + 1)]
+    """All nodes of the depths from ``least`` to ``most``, of each bit and depth: sorted keys, estimate of a one, trust."""
+
+    def __init__(self, tiers: list[tuple[int, np.ndarray, np.ndarray]], least: int = 0):
+        """tiers: (depth, grams, counts); grams are whole, so all are of depth DEPTH; those with count 0 add no node."""
+        if any(len(g) and d != DEPTH for d, g, _ in tiers):
+            raise ValueError(f"grams must have a context of {DEPTH} bytes")
+        grams, n = np.concatenate([g for _, g, _ in tiers]), np.concatenate([c for *_, c in tiers]).astype(float)
+        grams, n = grams[n > 0], n[n > 0]
+        rows = []
         for bit in range(8):
-            below = None  # (keys, counts of zeros and of ones, weighted probability) of the depth below
-            for depth in range(DEPTH, -1, -1):
-                keys = np.concatenate([node_keys(g, depth, bit) for d, g, _ in tiers if d >= depth])
-                ones = np.concatenate([(g >> np.uint64(7 - bit)) & np.uint64(1) for d, g, _ in tiers if d >= depth])
-                n = np.concatenate([c for d, _, c in tiers if d >= depth]).astype(float)
+            one = n * ((grams >> np.uint64(7 - bit)) & np.uint64(1))
+            rows.append((node_keys(grams, DEPTH, bit), n - one, one, None))
+        self._grow(rows, least, DEPTH)
+
+    @classmethod
+    def above(cls, keys: np.ndarray, zero: np.ndarray, one: np.ndarray, weighted: np.ndarray, depth: int) -> ContextTree:
+        """Nodes from the root to a depth; keys are theirs at that depth, with sums over the nodes one deeper."""
+        tree, prefix = cls.__new__(cls), keys & np.uint64(255)
+        at = [(prefix >> np.uint64(bit)) == 1 for bit in range(8)]
+        tree._grow([(keys[x], zero[x], one[x], weighted[x]) for x in at], 0, depth)
+        return tree
+
+    def _grow(self, rows: list, least: int, most: int) -> None:
+        self.least, self.most, self.nodes, self.sums = least, most, [], []
+        for keys, zeros, ones, split in rows:
+            found = {}
+            for depth in range(most, least - 1, -1):
                 u, at = np.unique(keys, return_inverse=True)
-                total, one = np.bincount(at, n, len(u)), np.bincount(at, n * ones, len(u))
-                zero = total - one
+                zero, one = np.bincount(at, zeros, len(u)), np.bincount(at, ones, len(u))
                 own = kt_block(zero, one)
-                if below is None:
+                if split is None:
                     weighted, trust = own, np.ones(len(u))
                 else:
-                    up = np.searchsorted(u, below[0] & np.uint64((1 << 8 * depth + 8) - 1))
-                    left0, left1 = (x - np.bincount(up, y, len(u)) for x, y in ((zero, below[1]), (one, below[2])))
-                    split = np.bincount(up, below[3], len(u)) + kt_block(np.maximum(left0, 0), np.maximum(left1, 0))
-                    weighted = np.logaddexp(own, split) - np.log(2)
+                    weighted = np.logaddexp(own, np.bincount(at, split, len(u))) - np.log(2)
                     trust = np.exp(own - np.log(2) - weighted)
-                    trust = trust if len(below[0]) else np.ones(len(u))
-                below = (u, zero, one, weighted)
-                nodes[depth].append((u, (one + 0.5) / (total + 1), trust, total))
-        self.tag, self.one, self.trust = np.zeros(SLOTS, np.uint16), np.zeros(SLOTS, np.uint16), np.zeros(SLOTS, np.uint8)
-        for depth, groups in enumerate(nodes):  # shallow nodes first, then frequent ones; what finds its slot taken is left out
-            for u, p, trust, total in groups:
-                slot, tag = _slot(u, depth)
-                order = np.argsort(-total, kind="stable")
-                order = order[self.tag[slot[order]] == 0]
-                _, first = np.unique(slot[order], return_index=True)
-                won = order[first]
-                self.tag[slot[won]] = tag[won]
-                self.one[slot[won]] = np.clip(np.rint(p[won] * 65536), 1, 65535)
-                self.trust[slot[won]] = np.rint(trust[won] * 255)
-        grams = tiers[0][1]
-        h = mixed(grams)
-        slot = (h & np.uint64(GRAM_SLOTS - 1)).astype(np.int64)
-        self.gram_tag, self.gram_score = np.zeros(GRAM_SLOTS, np.uint32), np.zeros(GRAM_SLOTS, np.float32)
-        order = np.argsort(-tiers[0][2], kind="stable")
-        _, first = np.unique(slot[order], return_index=True)
-        won = order[first]
-        self.gram_tag[slot[won]] = (h[won] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-        for lo in range(0, len(won), 1 << 16):
-            x = won[lo : lo + (1 << 16)]
-            self.gram_score[slot[x]] = self.mixed_score(grams[x])
+                found[depth] = (u, (one + 0.5) / (zero + one + 1), trust)
+                keys, zeros, ones, split = u & np.uint64((1 << 8 * max(depth - 1, 0) + 8) - 1), zero, one, weighted
+            self.nodes.append(found)
+            self.sums.append((keys, zeros, ones, split))
 
-    def mixed_score(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram's last byte after the others, mixed over all depths."""
-        out = np.zeros(len(grams))
+    def mixture(self, grams: np.ndarray, deeper: np.ndarray | None = None) -> np.ndarray:
+        """Of each bit of each gram's last byte its probability, mixed over the depths held here and then ``deeper``.
+
+        deeper: the same from the next depth on. NaN: no node of that depth is there, so the depth above takes all.
+        """
+        out = np.empty((8, len(grams)))
         for bit in range(8):
             ones = ((grams >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
-            p, left, last = np.zeros(len(grams)), np.ones(len(grams)), np.full(len(grams), 0.5)
-            for depth in range(DEPTH + 1):
-                slot, tag = _slot(node_keys(grams, depth, bit), depth)
-                seen = (self.tag[slot] == tag) & (left > 0)
-                at = slot[seen]
-                one = self.one[at] / 65536
-                now = np.where(ones[seen], one, 1 - one)
-                part = left[seen] * self.trust[at] / 255
+            p, left = np.zeros(len(grams)), np.ones(len(grams))
+            last = np.full(len(grams), np.nan if self.least else 0.5)
+            for depth in range(self.least, self.most + 1):
+                u, one, trust = self.nodes[bit][depth]
+                keys = node_keys(grams, depth, bit)
+                at = np.minimum(np.searchsorted(u, keys), max(len(u) - 1, 0))
+                seen = u[at] == keys if len(u) else np.zeros(len(keys), bool)
+                at = at[seen]
+                now = np.where(ones[seen], one[at], 1 - one[at])
+                part = left[seen] * trust[at]
                 p[seen] += part * now
-                stop = ~seen & (left > 0)
-                p[stop] += left[stop] * last[stop]
-                last[seen] = now
                 left[seen] -= part
-                left[stop] = 0
-            out += np.log10(p + left * last)
+                last[seen] = now
+            out[bit] = p + left * (last if deeper is None else np.where(np.isnan(deeper[bit]), last, deeper[bit]))
         return out
 
-    def score(self, grams: np.ndarray) -> np.ndarray:
-        h = mixed(grams)
-        slot = (h & np.uint64(GRAM_SLOTS - 1)).astype(np.int64)
-        out = self.gram_score[slot].astype(float)
-        rare = np.flatnonzero(self.gram_tag[slot] != ((h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)))
-        if len(rare):
-            u, at = np.unique(grams[rare], return_inverse=True)
-            out[rare] = self.mixed_score(u)[at]
-        return out
+    def mixed_score(self, grams: np.ndarray) -> np.ndarray:
+        """log10 probability of each gram's last byte after the others, mixed over all depths."""
+        return np.log10(self.mixture(grams)).sum(axis=0)
+
+    score = mixed_score
+
 
+DEALT_ROWS = "kind int, key long, n long, " + ", ".join(f"x{i} double" for i in range(8))
 
-SCORED = "h long, rid long, doc_id long, n_tokens long, known long, base double, score double"
+
+def _dealt(batches):
+    """Rows (key, n) in order of their last DEALT bytes of context, none of which is in two tasks.
+
+    Gives (2, gram, n, mixture of each bit from depth DEALT on), and (1, node one above, null, counts of zeros and of
+    ones and the weighted probability, summed over nodes of depth DEALT that are here).
+    """
+    names = [x.split()[0] for x in DEALT_ROWS.split(", ")]
+
+    def done(key, n):
+        tree = ContextTree([(DEPTH, key, n)], DEALT)
+        for lo in range(0, len(key), 1 << 15):
+            x = slice(lo, lo + (1 << 15))
+            mixture = tree.mixture(key[x])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[x]), 2, np.int32)), pa.array(key[x].view(np.int64)), pa.array(n[x])] + [pa.array(m) for m in mixture], names=names)
+        for keys, *sums in tree.sums:
+            u, at = np.unique(keys, return_inverse=True)
+            none = pa.nulls(len(u), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), 1, np.int32)), pa.array(u.view(np.int64)), pa.nulls(len(u), pa.int64())] + [pa.array(np.bincount(at, y, len(u))) for y in sums] + [none] * 5, names=names)
+
+    kept, size = [], 0
+    for batch in batches:
+        kept.append((batch.column("key").to_numpy().view(np.uint64), batch.column("n").to_numpy()))
+        size += batch.num_rows
+        if size < STRINGS:
+            continue
+        key, n = (np.concatenate(x) for x in zip(*kept))
+        context = (key >> np.uint64(8)) & np.uint64((1 << 8 * DEALT) - 1)
+        last = np.flatnonzero(context != context[-1])
+        whole = int(last[-1]) + 1 if len(last) else 0
+        if whole:
+            yield from done(key[:whole], n[:whole])
+        kept, size = [(key[whole:], n[whole:])], len(key) - whole
+    if size:
+        yield from done(*(np.concatenate(x) for x in zip(*kept)))
+
+
+def _finished(top: ContextTree):
+    """Scores of grams from mixtures of the deeper depths."""
+
+    def run(batches):
+        for batch in batches:
+            deeper = np.stack([batch.column(f"x{i}").to_numpy() for i in range(8)])
+            score = np.log10(top.mixture(batch.column("key").to_numpy().view(np.uint64), deeper)).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), pa.array(score)], names=["key", "n", "score"])
+
+    return run
+
+
+def gram_scores(grams: DataFrame) -> DataFrame:
+    """grams (key long, distinct; n long: how often it is learnt, or 0): (key, n, score), exact whatever their number."""
+    context = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * DEALT) - 1).cast("long"))
+    dealt = grams.select("key", "n", context.alias("context")).repartition("context").sortWithinPartitions("context")
+    dealt = materialise(dealt.select("key", "n").mapInArrow(_dealt, DEALT_ROWS), "ctw-dealt")
+    sums = dealt.where("kind = 1").groupBy("key").agg(*[F.sum(f"x{i}").alias(f"x{i}") for i in range(3)]).toArrow()
+    top = ContextTree.above(sums["key"].to_numpy().view(np.uint64), *(sums[f"x{i}"].to_numpy() for i in range(3)), DEALT - 1)
+    return dealt.where("kind = 2").mapInArrow(_finished(top), "key long, n long, score double")
+
+
+class Frequent:
+    """Scores of grams in an open-addressed table that holds every one of them."""
+
+    EMPTY = np.uint64((1 << 64) - 1)  # no gram: they have 48 bits
+
+    def __init__(self, grams: np.ndarray, scores: np.ndarray):
+        self.mask = (1 << max(2 * len(grams), 1).bit_length()) - 1
+        self.keys, self.scores = np.full(self.mask + 1, self.EMPTY), np.zeros(self.mask + 1)
+        left, at = np.arange(len(grams)), self._start(grams)
+        while len(left):
+            free = np.flatnonzero(self.keys[at] == self.EMPTY)
+            _, first = np.unique(at[free], return_index=True)
+            won = free[first]
+            self.keys[at[won]], self.scores[at[won]] = grams[left[won]], scores[left[won]]
+            left, at = np.delete(left, won), (np.delete(at, won) + 1) & self.mask
+
+    def _start(self, grams: np.ndarray) -> np.ndarray:
+        return (mixed(grams) & np.uint64(self.mask)).astype(np.int64)
+
+    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, 0 where there is none; places in grams of those that are not here)."""
+        at = self._start(grams)
+        out, got = self.scores[at], self.keys[at]
+        left, none = np.flatnonzero(got != grams), []
+        at, got = at[left], got[left]
+        while len(left):
+            out[left] = 0
+            none.append(left[got == self.EMPTY])
+            on = got != self.EMPTY
+            left, at = left[on], (at[on] + 1) & self.mask
+            got = self.keys[at]
+            hit = got == grams[left]
+            out[left[hit]] = self.scores[at[hit]]
+            left, at, got = left[~hit], at[~hit], got[~hit]
+        return out, np.sort(np.concatenate(none)) if none else left
+
+
+SCORED = "kind int, h long, rid long, times long, doc_id long, n_tokens long, known long, base double, score double"
 
 
 def _score(shared):
-    """One row for each document, and one for each of its words that the frequent ones lack."""
+    """One row (kind 0) for each document, one for each of its words (1) and grams (2) that the frequent ones lack."""
 
     def run(batches):
-        tree, frequent, logs = shared.value
+        names = [x.split()[0] for x in SCORED.split(", ")]
+        table, frequent, logs = shared.value
+
+        def others(kind, h, rid):
+            u, times = np.unique(np.stack([h.view(np.int64), rid]), axis=1, return_counts=True) if len(h) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+            none, blank = pa.nulls(len(times), pa.int64()), pa.nulls(len(times), pa.float64())
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(times), kind, np.int32)), pa.array(u[0]), pa.array(u[1]), pa.array(times), none, none, none, blank, blank], names=names)
+
         for batch, parts in slices(batches):
             buffer, first, ends = normal_form(parts)
             k = len(parts)
-            score = tree.score(grams_of(buffer, first, ends))
-            score = np.add.reduceat(score, np.concatenate(([0], np.cumsum(ends - first)[:-1])))
+            grams = grams_of(buffer, first, ends)
+            score, lacking = table.find(grams)
+            begin = np.concatenate(([0], np.cumsum(ends - first)[:-1]))
+            score = np.add.reduceat(score, begin)
             h, doc = words_of(buffer, first, ends)
             at = np.minimum(np.searchsorted(frequent, h), max(len(frequent) - 1, 0))
             hit = frequent[at] == h if len(frequent) else np.zeros(len(h), bool)
             rid = batch.column("rid").to_numpy()
             base = np.bincount(doc[hit], logs[at[hit]], k)
             row_key = mixed(rid.astype(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(row_key), pa.array(rid), batch.column("doc_id"), pa.array(np.bincount(doc, minlength=k)), pa.array(np.bincount(doc[hit], minlength=k)), pa.array(base), pa.array(score)], names=[x.split()[0] for x in SCORED.split(", ")])
-            rare = np.flatnonzero(~hit)
-            none = pa.nulls(len(rare), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(h[rare].view(np.int64)), pa.array(rid[doc[rare]]), none, none, none, pa.nulls(len(rare), pa.float64()), pa.nulls(len(rare), pa.float64())], names=[x.split()[0] for x in SCORED.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array(row_key), pa.array(rid), pa.array(np.ones(k, np.int64)), batch.column("doc_id"), pa.array(np.bincount(doc, minlength=k)), pa.array(np.bincount(doc[hit], minlength=k)), pa.array(base), pa.array(score)], names=names)
+            yield others(1, h[~hit], rid[doc[~hit]])
+            yield others(2, grams[lacking], rid[np.searchsorted(begin, lacking, side="right") - 1])
 
     return run
 
 
-def _tiers(counts: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """The most frequent grams to the first depth, the rest cut to shorter contexts; sizes are bounded by TIERS."""
-    rest, out = counts.where("kind = 1").select("key", "n"), []
-    for i, (depth, most) in enumerate(TIERS):
-        cut = DEPTH - depth
-        if cut:
-            keep = F.col("key").bitwiseAND(F.lit((1 << 8 * (depth + 1)) - 1).cast("long"))
-            rest = rest.groupBy(keep.alias("key")).agg(F.sum("n").alias("n"))
-        grade = F.floor(F.log2("n") * 8).cast("int")
-        sizes = sorted(((r.grade, r.size) for r in rest.groupBy(grade.alias("grade")).agg(F.count("*").alias("size")).collect()), reverse=True)
-        total, least = 0, None
-        for g, size in sizes:
-            if total + size > most and i < len(TIERS) - 1:
-                break
-            total, least = total + size, g
-        found = rest.where(grade >= (least if least is not None else 1 << 30)).toArrow()
-        out.append((depth, found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()))
-        rest = rest.where(grade < (least if least is not None else 1 << 30))
-    return out
+def _least_grade(grams: DataFrame, grade) -> int:
+    """The least grade from which on there are at most GRAMS grams; none of grade -1, those that are not learnt."""
+    total, least = 0, 1 << 30
+    for r in sorted(grams.groupBy(grade.alias("grade")).agg(F.count("*").alias("size")).collect(), reverse=True):
+        total += r["size"]
+        if total > GRAMS or r.grade < 0:
+            break
+        least = r.grade
+    return least
 
 
 def score(docs: DataFrame, train, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score); train: a condition on docs, the rows to learn from."""
     spark = docs.sparkSession
     rows = replayable(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), train.alias("train")), "ctw-docs")
-    counts = rows.where("train").select("text").mapInArrow(_counts, "kind int, key long, n long")
+    counts = rows.select("text", "train").mapInArrow(_counts, "kind int, key long, n long")
     counts = materialise(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ctw-counts")
-    words = counts.where("kind = 0").select(F.col("key").alias("h"), "n")
+    words = counts.where("kind = 1").select(F.col("key").alias("h"), "n")
     total = words.agg(F.sum("n").alias("tokens"), F.count("*").alias("distinct")).first()
     tokens, distinct = total.tokens or 0, total.distinct
     top = words.orderBy(F.desc("n"), "h").limit(WORDS).toArrow()
     frequent = top["h"].to_numpy().view(np.uint64)
     order = np.argsort(frequent)
     logs = np.log10(top["n"].to_numpy()[order] + 0.1)
-    shared = spark.sparkContext.broadcast((ContextTree(_tiers(counts)), frequent[order], logs))
+    grams = gram_scores(counts.where("kind = 2").select("key", "n"))
+    grade = F.when(F.col("n") > 0, F.floor(F.log2("n") * 8)).otherwise(-1).cast("int")
+    least = _least_grade(counts.where("kind = 2"), grade)
+    most = grams.where(grade >= least).toArrow()
+    table = Frequent(most["key"].to_numpy().view(np.uint64), most["score"].to_numpy())
+    shared = spark.sparkContext.broadcast((table, frequent[order], logs))
     scored = rows.withColumn("rid", F.monotonically_increasing_id()).select("rid", "doc_id", "text").mapInArrow(_score(shared), SCORED)
-    is_word = F.col("n_tokens").isNull()
-    joined = scored.join(words, "h", "left")
-    base = F.when(is_word, F.log10(F.coalesce(F.col("n"), F.lit(0)) + F.lit(0.1))).otherwise(F.col("base"))
-    known = F.when(is_word, F.col("n").isNotNull().cast("long")).otherwise(F.col("known"))
-    out = joined.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum(known).alias("n_known"), F.sum(base).alias("base"), F.max("score").alias("score"))
+    known = words.select(F.lit(1).alias("kind"), "h", F.log10(F.col("n") + F.lit(0.1)).alias("value"))
+    found = known.unionByName(grams.where(grade < least).select(F.lit(2).alias("kind"), F.col("key").alias("h"), F.col("score").alias("value")))
+    joined = scored.join(found, ["kind", "h"], "left")
+    is_word, is_gram = F.col("kind") == 1, F.col("kind") == 2
+    base = F.when(is_word, F.col("times") * F.coalesce(F.col("value"), F.lit(-1.0))).otherwise(F.col("base"))
+    known = F.when(is_word, F.when(F.col("value").isNotNull(), F.col("times")).otherwise(0)).otherwise(F.col("known"))
+    part = F.when(is_gram, F.col("times") * F.col("value")).otherwise(F.col("score"))
+    out = joined.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum(known).alias("n_known"), F.sum(base).alias("base"), F.sum(part).alias("score"))
     norm = float(np.log10(tokens + 0.1 * (distinct + 1)))
     return out.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(norm)).alias("base_score"), "score")
 

@@ -145,23 +145,16 @@ def cross_fit(points: DataFrame, k: int = 5, minimum_stratum: int = 10_000, few:
     return rows.select(F.col("held").alias("fold"), "stratum", "p", "n", "sy", fit.alias("fit"))
 
 
-def fit_beta(prices: Sequence[float], sums: Sequence[float], counts: Sequence[float], rounds: int = 50, ridge: float = 1e-6, clip: float = 1e-4, tolerance: float = 1e-10) -> tuple[float, float, float]:
-    """(a, b, c) of logit q = a ln p - b ln(1 - p) + c by weighted least squares, from pooled bins.
-
-    A negative slope is left out and the rest fitted anew, so the map never decreases.
-    """
+def _newton(sums: Callable, rounds: int, ridge: float, tolerance: float) -> tuple[float, float, float]:
+    """Weights from sums(used, w): Newton's matrix and gradient over the points, for the columns in use."""
     import numpy as np
 
-    p = np.clip(np.asarray(prices, float), clip, 1 - clip)
-    s, n = np.asarray(sums, float), np.asarray(counts, float)
-    full = np.column_stack([np.log(p), -np.log(1 - p), np.ones_like(p)])
     used = [0, 1, 2]
     while True:
-        x, w = full[:, used], np.zeros(len(used))
+        w = np.zeros(len(used))
         for _ in range(rounds):
-            q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            h = (x * (n * q * (1 - q))[:, None]).T @ x + ridge * np.eye(len(used))
-            step = np.linalg.solve(h, x.T @ (s - n * q) - ridge * w)
+            h, g = sums(used, w)
+            step = np.linalg.solve(h + ridge * np.eye(len(used)), g - ridge * w)
             w = w + step
             if np.abs(step).max() < tolerance:
                 break
@@ -174,6 +167,50 @@ def fit_beta(prices: Sequence[float], sums: Sequence[float], counts: Sequence[fl
         used.remove(min(bad, key=lambda u: w[used.index(u)]))
 
 
+def fit_beta(prices: Sequence[float], sums: Sequence[float], counts: Sequence[float], rounds: int = 50, ridge: float = 1e-6, clip: float = 1e-4, tolerance: float = 1e-10) -> tuple[float, float, float]:
+    """(a, b, c) of logit q = a ln p - b ln(1 - p) + c by weighted least squares, from pooled bins.
+
+    A negative slope is left out and the rest fitted anew, so the map never decreases.
+    """
+    import numpy as np
+
+    p = np.clip(np.asarray(prices, float), clip, 1 - clip)
+    s, n = np.asarray(sums, float), np.asarray(counts, float)
+    full = np.column_stack([np.log(p), -np.log(1 - p), np.ones_like(p)])
+
+    def over(used, w):
+        x = full[:, used]
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        return (x * (n * q * (1 - q))[:, None]).T @ x, x.T @ (s - n * q)
+
+    return _newton(over, rounds, ridge, tolerance)
+
+
+def fit_beta_rows(points: DataFrame, rounds: int = 50, ridge: float = 1e-6, clip: float = 1e-4, tolerance: float = 1e-10) -> tuple[float, float, float]:
+    """fit_beta of all points (p, n, sy), however many: a round's sums are Spark's, the driver gets nine numbers at most.
+
+    points are read once a round, so they should be materialised.
+    """
+    import numpy as np
+
+    p = F.least(F.greatest("p", F.lit(clip)), F.lit(1 - clip))
+    full = points.select(F.ln(p).alias("x0"), (-F.ln(1 - p)).alias("x1"), F.lit(1.0).alias("x2"), F.col("sy").cast("double").alias("s"), F.col("n").cast("double").alias("n"))
+
+    def over(used, w):
+        z = sum((F.lit(float(v)) * F.col(f"x{u}") for u, v in zip(used, w)), F.lit(0.0))
+        q = 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
+        pairs = [(i, j) for i in used for j in used if i <= j]
+        h = [F.sum(F.col(f"x{i}") * F.col(f"x{j}") * F.col("n") * F.col("q") * (1 - F.col("q"))) for i, j in pairs]
+        found = full.withColumn("q", q).agg(*h, *[F.sum(F.col(f"x{u}") * (F.col("s") - F.col("n") * F.col("q"))) for u in used]).first()
+        found = [x or 0.0 for x in found]  # null without points
+        matrix = np.zeros((3, 3))
+        for (i, j), x in zip(pairs, found):
+            matrix[i, j] = matrix[j, i] = x
+        return matrix[np.ix_(used, used)], np.array(found[len(pairs) :])
+
+    return _newton(over, rounds, ridge, tolerance)
+
+
 def apply_beta(price: Column, a: float, b: float, c: float, clip: float = 1e-4) -> Column:
     from ..functions.probability import sigmoid
 

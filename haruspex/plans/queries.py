@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..functions.probability import banker_round, micros, toward_truth
 from ..operators import asof, categories, ingest, isotonic, leakage, resample, rules, runs, sampling, scoring, series, temporal
 from ..sources import fixtures as X
+from ..storage import materialise
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -146,10 +147,9 @@ def agg17(spark, d):
 
 @query("agg15_beta_calibration")
 def agg15(spark, d):
-    points = scoring.pooled(X.forecast(spark, d)).orderBy("p")
-    rows = points.limit(10_000).collect()  # distinct forecasts, 50 here
-    a, b, c = isotonic.fit_beta(*zip(*[(r.p, r.sy, r.n) for r in rows]))
-    return points.select("p", "n", F.round(isotonic.apply_beta(F.col("p"), a, b, c), 6).alias("corrected"))
+    points = materialise(scoring.pooled(X.forecast(spark, d)), "beta-points")
+    a, b, c = isotonic.fit_beta_rows(points)
+    return points.orderBy("p").select("p", "n", F.round(isotonic.apply_beta(F.col("p"), a, b, c), 6).alias("corrected"))
 
 
 @query("agg18_breakdown_min_group", f"with {X.FORECAST}, l as (select grp || '/' || l_linenumber::varchar label, p, case when l_suppkey % 10 <> 0 then y end y from fc), s as (select label, count(*) n, avg((p - y) * (p - y)) b, avg(y) r from l where y is not null group by 1) select label, n, {R('n / sum(n) over ()')} share, n >= 300 reported, case when n >= 300 then {R('b')} end brier, case when n >= 300 then {R('r')} end base_rate from s")

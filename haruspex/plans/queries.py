@@ -227,7 +227,7 @@ def agg23(spark, d):
 def agg24(spark, d):
     fc = X.forecast(spark, d)
     diff = (F.col("p") - F.col("y")) * (F.col("p") - F.col("y")) - (F.col("p2") - F.col("y")) * (F.col("p2") - F.col("y"))
-    return rounded(resample.hash_bootstrap(fc.withColumn("e", diff), "e", "cluster", resamples=100, draws="xxhash"))
+    return rounded(resample.hash_bootstrap(fc.withColumn("e", diff), "e", "cluster", draws="xxhash"))
 
 
 DELTA = "((p - y) * (p - y) - (p2 - y) * (p2 - y))"

@@ -107,17 +107,40 @@ def match_outcomes(docs: DataFrame, forms: DataFrame, snippet: str = "snippet",
     return rows.withColumn("matched_as", F.when(exact, "exact").otherwise("normalized")).drop("_doc", "_form", "_anchor")
 
 
+def _best_ratio(text: str, form: str) -> float:
+    """Windows are compared in order of the characters they share with the form, which bound the ratio, until none can be better."""
+    import numpy as np
+
+    words, w = text.split(), len(form.split())
+    letters = {c: i for i, c in enumerate(sorted(set(form)))}
+    sought = np.bincount([letters[c] for c in form], minlength=len(letters))
+    vectors = {x: np.bincount([letters[c] for c in x if c in letters], minlength=len(letters)) for x in set(words)}
+    shared = np.cumsum(np.array([np.zeros(len(letters), int), *(vectors[x] for x in words)]), axis=0)
+    sizes = np.cumsum([0, *map(len, words)])
+    bounds, spans = [], []
+    for n in (w - 1, w, w + 1):
+        if w and 0 < n <= len(words):
+            count = shared[n:] - shared[:-n]
+            if " " in letters:
+                count[:, letters[" "]] += n - 1
+            bounds.append(2.0 * np.minimum(count, sought).sum(axis=1) / (len(form) + sizes[n:] - sizes[:-n] + n - 1))
+            spans += [(i, i + n) for i in range(len(words) - n + 1)]
+    best = 0.0
+    if spans:
+        bound = np.concatenate(bounds)
+        for k in np.argsort(-bound, kind="stable"):
+            if bound[k] <= best:
+                break
+            best = max(best, difflib.SequenceMatcher(None, form, " ".join(words[slice(*spans[k])])).ratio())
+    return best
+
+
 def best_similarity(snippet: Column, form: Column) -> Column:
     """Greatest Ratcliff-Obershelp ratio of the form and any window of its length in words, give or take one; a Python island."""
 
     @F.pandas_udf("double")
     def best(text: pd.Series, sought: pd.Series) -> pd.Series:
-        out = []
-        for t, f in zip(text, sought):
-            words, w = (t or "").split(), len((f or "").split())
-            spans = [words[i : i + n] for n in (w - 1, w, w + 1) if w and n > 0 for i in range(len(words) - n + 1)]
-            out.append(max((difflib.SequenceMatcher(None, f, " ".join(x)).ratio() for x in spans), default=0.0))
-        return pd.Series(out)
+        return pd.Series([_best_ratio(t or "", f or "") for t, f in zip(text, sought)], dtype=float)
 
     return best(scan_form(snippet), scan_form(form))
 

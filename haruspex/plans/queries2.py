@@ -263,8 +263,8 @@ def leak07(spark, d):
 
 @query("leak08_fuzzy_similarity")
 def leak08(spark, d):
-    pages = X.table(spark, d, "conversations")
-    return pages.select("conv_id", "turn", F.round(leakage.best_similarity(F.col("text"), F.lit("the outcome was yes")), 6).alias("similarity"))
+    docs = X.table(spark, d, "documents")
+    return docs.select("doc_id", F.round(leakage.best_similarity(F.col("text"), F.lit("the outcome was yes")), 6).alias("similarity"))
 
 
 @query("leak12_forecast_time", f"with {X.FORECAST} select case when as_of >= least(resolved_at, soft) then case when resolved_at <= soft then 'resolved_at' else 'soft_target_at' end end fault, count(*) n from (select *, as_of + to_days((l_linenumber * 10)::int) soft from fc) group by 1")

@@ -87,6 +87,14 @@ class Encoder:
         return b"".join(map(self.cache.__getitem__, found))
 
 
+def id_width(path: str, end_id: int) -> int:
+    """Bytes that hold every id of the tokenizer in the file, and the end id: 2 or 4."""
+    from tokenizers import Tokenizer
+
+    most = max(end_id, *Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values())
+    return 2 if most < 1 << 16 else 4
+
+
 def encoder(path: str, words: bool) -> Encoder:
     """One for each worker process and file."""
     kept = stash()

@@ -12,8 +12,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that one step of a batch handles; a longer single text is handled alone.
+#: Bytes of text that one step of a batch handles.
 STEP_BYTES = 1 << 20
+#: A text of more bytes is gone through piece by piece, and so is no word or line of more: it stands alone.
+LONG = 1 << 20
+WHITE = b" \t\n\x0b\x0c\r"
 
 
 def stash() -> dict:
@@ -68,6 +71,36 @@ def slices(batches, name: str = "text", step: int = STEP_BYTES, owner: str | Non
     tidy(owner)
 
 
+def pieces(text: bytes, stops: bytes, size: int | None = None):
+    """The text in consecutive pieces (bytes, whether it is one unit), each cut behind one of the bytes in ``stops``.
+
+    A unit (what lies between stops) of more than ``size`` bytes is a piece of its own, without the stop behind it;
+    all other pieces hold whole units of at most ``size`` bytes. Which units stand alone doesn't depend on their place.
+    """
+    size = size or LONG
+    buffer, stop, at = np.frombuffer(text, np.uint8), np.zeros(256, bool), 0
+    stop[list(stops)] = True
+    while len(text) - at > size:
+        last = np.flatnonzero(stop[buffer[at : at + size + 1]])
+        if len(last):
+            end = at + int(last[-1]) + 1
+            yield text[at:end], False
+            at = end
+            continue
+        end = min((x for x in (text.find(bytes([b]), at + size) for b in stops) if x >= 0), default=len(text))
+        yield text[at:end], True
+        at = end + 1
+    if at < len(text):
+        yield text[at:], False
+
+
+def long_hash(unit: bytes) -> np.uint64:
+    """Hash of a unit of more than LONG bytes, which rolling hashes never see."""
+    import xxhash
+
+    return np.uint64(xxhash.xxh64_intdigest(unit, 20240229))
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     kept = stash().get("powers")
     if kept is None or len(kept[0]) < n:

@@ -7,24 +7,28 @@ with those of the benchmark; only documents with a fingerprint in common are ext
 position is compared with the benchmark's windows themselves, so that chance hits of hashes go.
 An item of fewer than 10 words is one window of its own length, looked up by its hash at every position.
 
-The benchmark is a stated query set and is held against all documents in blocks of at most
-``BLOCK_WORDS`` words; the documents are read once for each block, and no text is shuffled.
+The benchmark is a stated query set and is held against all documents in blocks of at most ``BLOCK_WORDS`` words, so
+what is broadcast has a bound, and the driver holds one block at a time; the documents are read once for each block,
+with row numbers that are the same in each reading, and no text is shuffled.
 
 Edge cases: null or empty texts have no words, n_hit 0; items without words never occur; items of equal text
-all count; rows with null item_id are ignored as they can't be named; repeated item rows count once;
-repeated documents keep their rows; an empty benchmark leaves every document clean; extra columns are ignored.
+all count, as do windows that overlap; an item of more than a block is a block of its own; very long texts are compared
+at every position; rows with null item_id are ignored as they can't be named; repeated item rows count once;
+repeated documents keep their rows; an empty benchmark leaves every document clean; extra columns are ignored by
+contamination and kept by keep_clean, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import replayable
+from ..storage import materialise, numbered
 from ._flat import alnum_ascii, mixed, slices, stash
 
 WINDOW = 10
@@ -136,12 +140,14 @@ def _sha(items) -> str:
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
 
 
-def _scan(items: list[tuple[int, bytes]], whole: bool):
+def _scan(items, whole: bool):
+    """items: a broadcast block. Arrow function: RESULT rows, or (rid, doc_id, hit positions, items) of documents that are hit."""
+    key = uuid.uuid4().hex
+
     def run(batches):
-        key = ("benchmark", hash(tuple(items)))
         kept = stash()
         if kept.get("benchmark", (None,))[0] != key:
-            kept["benchmark"] = (key, Benchmark(items))
+            kept["benchmark"] = (key, Benchmark(items.value))
         bench, table = kept["benchmark"][1], alnum_ascii()
         known = bench.vocabulary.get
         for batch, parts in slices(batches, owner="benchmark"):
@@ -161,7 +167,8 @@ def _scan(items: list[tuple[int, bytes]], whole: bool):
             if whole:
                 yield pa.RecordBatch.from_arrays([*first, pa.array(n_hit), pa.array(n_items), pa.array(sha), pa.array(n_hit > 0)], names=[x.split()[0] for x in RESULT.split(", ")])
             else:
-                yield pa.RecordBatch.from_arrays([batch.column("rid"), *first, pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.int64()))], names=["rid", "doc_id", "n_words", "spans", "names"])
+                out = pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.int64()))], names=["rid", "spans", "names"])
+                yield out.filter(pa.array(n_hit > 0))
 
     return run
 
@@ -185,20 +192,31 @@ def blocks_of(benchmark: DataFrame, text: str, item_id: str, block_words: int):
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", block_words: int = BLOCK_WORDS) -> DataFrame:
     """RESULT rows, one for each document."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    blocks = list(blocks_of(benchmark, item_text, item_id, block_words))
-    if len(blocks) == 1:
-        return rows.mapInArrow(_scan(blocks[0], True), RESULT)
-    rows = replayable(rows, "contamination-docs").withColumn("rid", F.monotonically_increasing_id())
-    each = None
-    for block in blocks:
-        one = rows.mapInArrow(_scan(block, False), "rid long, doc_id long, n_words long, spans array<long>, names array<long>")
+    spark, blocks = docs.sparkSession, blocks_of(benchmark, item_text, item_id, block_words)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        return rows.mapInArrow(_scan(spark.sparkContext.broadcast(block), True), RESULT)
+    rows, each = numbered(rows, "contamination-docs"), None
+    while block is not None:
+        shared = spark.sparkContext.broadcast(block)
+        one = materialise(rows.mapInArrow(_scan(shared, False), "rid long, spans array<long>, names array<long>"), "contamination-block")
+        shared.unpersist()
         each = one if each is None else each.union(one)
-    whole = each.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
-    joined = F.array_join(F.array_sort(F.transform("names", lambda x: x.cast("string"))), ",")
-    return whole.select("doc_id", "n_words", F.size("spans").cast("long").alias("n_hit"), F.size("names").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+        block, following = following, next(blocks, None)
+    hits = each.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
+    counted = rows.mapInArrow(_word_counts, "rid long, doc_id long, n_words long").join(hits, "rid", "left")
+    joined = F.coalesce(F.array_join(F.array_sort(F.transform("names", lambda x: x.cast("string"))), ","), F.lit(""))
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    return counted.select("doc_id", "n_words", size("spans").alias("n_hit"), size("names").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), F.col("spans").isNotNull().alias("contaminated"))
+
+
+def _word_counts(batches):
+    table = alnum_ascii()
+    for batch, parts in slices(batches):
+        yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array([len(t.translate(table).split()) for t in parts], pa.int64())], names=["rid", "doc_id", "n_words"])
 
 
-def _clean(items: list[tuple[int, bytes]], text: str):
+def _clean(items, text: str):
     scan = _scan(items, True)
 
     def run(batches):
@@ -211,10 +229,20 @@ def _clean(items: list[tuple[int, bytes]], text: str):
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Rows of docs, all columns, in which no window of the benchmark occurs; blocks filter one after another."""
-    for block in blocks_of(benchmark, item_text, item_id, block_words):
-        if block:
-            docs = docs.mapInArrow(_clean(block, text), docs.schema)
+    """Rows of docs, all columns, in which no window of the benchmark occurs; blocks filter one after another.
+
+    What all blocks but the last have left is written, so that one block is held at a time.
+    """
+    blocks = blocks_of(benchmark, item_text, item_id, block_words)
+    block = next(blocks)
+    while block:
+        following = next(blocks, None)
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        docs = docs.mapInArrow(_clean(shared, text), docs.schema)
+        if following is not None:
+            docs = materialise(docs, "clean-docs")
+            shared.unpersist()
+        block = following
     return docs
 
 

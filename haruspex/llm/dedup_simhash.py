@@ -11,15 +11,20 @@ So candidates are looked for under five keys, each two consecutive segments that
 chains of three and four segments prune them, and the full Hamming check decides.
 
 Skew: equal fingerprints are one node from the start. A key of up to ``CROWD`` fingerprints is compared in
-one task in numpy; a more crowded key is never compared in pairs: there, two fingerprints link exactly if
-they share a word at distance one or less from both, so each member names its one-bit neighbours outside the
-equal segments and every named word becomes a star of links (40 rows a member at most, no pairs, exact).
+one task in numpy. A more crowded key is split by the chain of three: the third segment differs in one bit at
+most, so each member takes the 14 keys (of 38 bits) of its third segment and of that one's one-bit neighbours, and
+two that link share one. Where that is crowded too, no pairs are compared: two fingerprints link exactly if they
+share a word at distance one or less from both, so each member names its one-bit neighbours outside the equal
+segments and every named word becomes a star of links (40 rows a member at most, exact).
 
 Components come from alternating star contraction over links between nodes, on executors only.
 
 Edge cases: null and empty texts have fingerprint zero and link like others; texts of one or two words hash
-the whole sequence; null doc_id rows get components of their own group's smallest non-null doc_id;
-repeated rows are kept; an empty table gives an empty result; extra columns are ignored.
+the whole sequence; very long texts are gone through piece by piece, with 64 counters of state; a bit that exactly
+half the shingles have is 0, and of links that tie none is preferred, as components need no order; a fingerprint
+that only rows with null doc_id have is no node, so it links nothing and its component_id is null; null doc_id rows
+of other fingerprints get their component; repeated rows are kept; an empty table gives an empty result; extra
+columns are ignored by near_duplicates and kept by keep_one, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,8 +35,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialise, replayable
-from ._flat import lower_ascii, slices
+from ..storage import free_name, materialise, numbered
+from ._flat import LONG, WHITE, lower_ascii, pieces, slices
 
 SEGMENTS = (13, 13, 13, 13, 12)
 CROWD = 256
@@ -43,29 +48,53 @@ def fingerprint_of(words: list[bytes], width: int = WIDTH) -> int:
     """Majority fingerprint of one word list (as bytes); zero for none."""
     if not words:
         return 0
-    flat, n = b" ".join(words), max(1, len(words) - width + 1)
-    if n == 1:
-        return xxhash.xxh64_intdigest(flat, SEED)
+    if len(words) <= width:
+        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+    return int(_majority(_shingle_hashes(words, width)))
+
+
+def _shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """Hashes of all shingles of at least ``width`` words."""
+    flat, n = b" ".join(words), len(words) - width + 1
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[:n].tolist()
     digest, seed = xxhash.xxh64_intdigest, SEED
-    hashes = np.fromiter([digest(flat[s:e], seed) for s, e in zip(starts, ends[width - 1 :].tolist())], np.uint64, n)
-    return int(_majority(hashes))
+    return np.fromiter([digest(flat[s:e], seed) for s, e in zip(starts, ends[width - 1 :].tolist())], np.uint64, n)
 
 
-def _majority(hashes: np.ndarray) -> np.uint64:
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
     ones = np.zeros(64, np.int64)
     for lo in range(0, len(hashes), 4096):
         bits = np.unpackbits(hashes[lo : lo + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
+    return ones
+
+
+def _majority(hashes: np.ndarray) -> np.uint64:
+    return np.packbits(2 * _ones(hashes) > len(hashes), bitorder="little").view("<u8")[0]
+
+
+def fingerprint_of_long(text: bytes, width: int = WIDTH) -> int:
+    """fingerprint_of the words of a text of any length, with the bits counted piece by piece."""
+    ones, n, carried = np.zeros(64, np.int64), 0, []
+    for piece, _ in pieces(text, WHITE):
+        words = carried + piece.split()
+        if len(words) >= width:
+            hashes = _shingle_hashes(words, width)
+            ones, n = ones + _ones(hashes), n + len(hashes)
+            carried = words[len(words) - width + 1 :]
+        else:
+            carried = words
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]) if n else fingerprint_of(carried, width)
 
 
 def _fingerprint_batches(batches):
     table = lower_ascii()
     for batch, parts in slices(batches):
-        prints = np.array([fingerprint_of(t.translate(table).split()) for t in parts], np.uint64)
+        low = (t.translate(table) for t in parts)
+        prints = np.array([fingerprint_of_long(t) if len(t) > LONG else fingerprint_of(t.split()) for t in low], np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
 
@@ -148,25 +177,48 @@ def _variants(ring, k: int):
     return F.array(*[ring.bitwiseXOR(F.lit(f).cast("long")) for f in flips])
 
 
+def _third(ring, k: int):
+    """Words of the third segment at distance one or less from ring's, where they lie in ring."""
+    low, width = sum((SEGMENTS * 2)[k : k + 2]), (SEGMENTS * 2)[k + 2]
+    own = ring.bitwiseAND(F.lit(((1 << width) - 1) << low).cast("long"))
+    return F.array(own, *[own.bitwiseXOR(F.lit(1 << b).cast("long")) for b in range(low, low + width)])
+
+
+def _by_segment(f) -> DataFrame:
+    """The union of f(k) over all five segments."""
+    out = f(0)
+    for k in range(1, 5):
+        out = out.unionByName(f(k))
+    return out
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    return rows.select("k", "key", "ring", "node").repartition("k", "key").sortWithinPartitions("k", "key").mapInArrow(_pairs_in_order, "a long, b long")
+
+
+def _shared(keyed: DataFrame, name: str) -> DataFrame:
+    """Rows whose key others share, with their number."""
+    counts = keyed.groupBy("k", "key").count().where("count > 1")
+    return materialise(keyed.join(counts, ["k", "key"]), name)
+
+
 def links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
     """nodes (node long, fp long, distinct fps): links (a, b) that keep all components of distance <= 2."""
-    keyed = None
-    for k in range(5):
+
+    def first(k):
         ring = _ring(F.col("fp"), k)
         mask = (1 << sum((SEGMENTS * 2)[k : k + 2])) - 1
-        one = nodes.select(F.lit(k).alias("k"), ring.bitwiseAND(F.lit(mask).cast("long")).alias("key"), ring.alias("ring"), "node")
-        keyed = one if keyed is None else keyed.unionByName(one)
-    counts = keyed.groupBy("k", "key").count().where("count > 1")
-    shared = materialise(keyed.join(counts, ["k", "key"]), "simhash-keys")
-    few = shared.where(F.col("count") <= crowd).select("k", "key", "ring", "node")
-    few = few.repartition("k", "key").sortWithinPartitions("k", "key").mapInArrow(_pairs_in_order, "a long, b long")
-    many = None
-    for k in range(5):
-        one = shared.where((F.col("count") > crowd) & (F.col("k") == k)).select(F.lit(k).alias("k"), F.explode(_variants(F.col("ring"), k)).alias("word"), "node")
-        many = one if many is None else many.unionByName(one)
+        return nodes.select(F.lit(k).alias("k"), ring.bitwiseAND(F.lit(mask).cast("long")).alias("key"), ring.alias("ring"), "node")
+
+    two = _shared(_by_segment(first), "simhash-keys")
+    crowded = two.where(F.col("count") > crowd).drop("count")
+    three = _by_segment(lambda k: crowded.where(F.col("k") == k).select("k", F.col("key"), "ring", "node", F.explode(_third(F.col("ring"), k)).alias("sub")))
+    three = _shared(three.select("k", F.col("key").bitwiseOR(F.col("sub")).alias("key"), "ring", "node"), "simhash-chains")
+    dense = three.where(F.col("count") > crowd).select("k", "ring", "node").distinct()
+    many = _by_segment(lambda k: dense.where(F.col("k") == k).select("k", F.explode(_variants(F.col("ring"), k)).alias("word"), "node"))
     stars = many.groupBy("k", "word").agg(F.collect_set("node").alias("nodes")).where(F.size("nodes") > 1)  # 65 members at most
     stars = stars.select(F.explode("nodes").alias("a"), F.array_min("nodes").alias("b")).where("a != b")
-    return few.unionByName(stars)
+    return _pairs(two.where(F.col("count") <= crowd)).unionByName(_pairs(three.where(F.col("count") <= crowd))).unionByName(stars)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -207,6 +259,7 @@ def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, text: str = "text", crowd: int = CROWD) -> DataFrame:
     """One row of each group, all columns; groups are of rows, so repeated rows and null doc_ids count too."""
-    rows = replayable(docs, "simhash-docs").withColumn("_rid", F.monotonically_increasing_id())
-    found = near_duplicates(rows, text, "_rid", crowd).where("doc_id != component_id").select(F.col("doc_id").alias("_rid"))
-    return rows.join(found, "_rid", "left_anti").select(*docs.columns)
+    rid = free_name(docs, "rid")
+    rows = numbered(docs, "simhash-docs", rid)
+    found = near_duplicates(rows, text, rid, crowd).where("doc_id != component_id").select(F.col("doc_id").alias(rid))
+    return rows.join(found, rid, "left_anti").select(*docs.columns)

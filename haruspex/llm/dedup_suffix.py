@@ -12,30 +12,36 @@ dictionary and parse:
 * the parse key, of the 105 bytes from the trigger on, which all strings of the phrase's starts share;
 * the phrase key, of the phrase's whole context (from its first start to the end of its last string).
 
-Triggers are sorted by (parse key, phrase key), rows of equal parse key being the only candidates. Both keys are
-Karp-Rabin fingerprints of 64 bits, which group as lexicographic ranks do. Equal neighbours in both keys: every
-string of the phrase is repeated. A parse key with several contexts: they are that key's dictionary, one row of
-each, and the suffix array of the dictionary (all starts of its phrases, sorted by their bytes) puts repeated
-strings next to each other, with a common prefix of 200 bytes or more.
+Triggers are sorted by (parse key, phrase key), rows of equal parse key being the only candidates. The parse key is a
+Karp-Rabin fingerprint of 64 bits that only brings candidates together; equality is never decided by it. The phrase
+key is a BLAKE2b digest of the context's bytes (128 bits), as blobs are addressed by what they hold. Digests group as
+lexicographic ranks do: only equality at a depth of 200 bytes is asked for. Equal neighbours in both keys: every string
+of the phrase is repeated. A parse key with several contexts: they are that key's dictionary, one row of each, and the
+suffix array of the dictionary (all starts of its phrases, sorted by their bytes) puts repeated strings next to each
+other, with a common prefix of 200 bytes or more.
 
 Sorted streams are read in batches with one row of state, so a key of any size needs no memory, and no pairs are
-made. A dictionary of more than ``CROWD`` contexts (a line that very many documents share) is never gathered: its
-strings are dealt by their own fingerprints, and equal neighbours are the repeated ones. Before rows move, each
-step of a batch keeps two rows of equal keys: more are known to be repeated there and then, and travel by their
-document, so that no key is hot. Texts move twice, compressed, to be opened and to be cut.
-
-Edge cases: null and empty texts have no bytes (the hash of nothing); texts under 200 bytes stay whole;
-repeated rows are copies of each other; an empty table gives an empty result; extra columns are ignored.
+made. A dictionary of more than ``CROWD`` contexts (a line that very many documents share) isn't gathered in one task:
+its strings are dealt by parse key and their own digests, and equal neighbours are the repeated ones. Both ways give
+the same result. Before rows move, each step of a batch keeps two rows of equal keys: more are known to be repeated
+there and then, and travel by their document, so that no key is hot. Texts move twice, compressed, to be opened and
+to be cut.
+
+Edge cases: null and empty texts have no bytes (the hash of nothing); texts under 200 bytes stay whole; texts of any
+length are parsed in chunks of ``CHUNK`` bytes; all copies of a repeated string go, so ties need no order; repeated rows
+are copies of each other; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialise, replayable
+from ..storage import materialise, numbered
 from ._flat import STEP_BYTES, RollingHash, mixed, slices, stretches
 
 LENGTH = 200
@@ -52,12 +58,21 @@ SORT = 1 << 15
 
 
 class Shape:
-    """Lengths that fit together: of the repeated strings, of a trigger's neighbourhood, of a trigger."""
+    """Lengths that fit together: of the repeated strings, of a trigger's neighbourhood, of a trigger; bits of the parse key."""
 
-    def __init__(self, length: int = LENGTH, reach: int = REACH, gram: int = GRAM):
+    def __init__(self, length: int = LENGTH, reach: int = REACH, gram: int = GRAM, bits: int = 64):
         if reach + gram - 1 > length:
             raise ValueError("a string must hold a whole neighbourhood of triggers")
         self.length, self.reach, self.gram, self.key = length, reach, gram, length - reach + 1
+        self.mask = np.uint64((1 << bits) - 1)
+
+
+def digests(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """BLAKE2b of each substring, 128 bits as two integers."""
+    view = memoryview(buffer)
+    found = b"".join([blake2b(view[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist())])
+    both = np.frombuffer(found, np.int64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def _least(values: np.ndarray, reach: int) -> np.ndarray:
@@ -71,7 +86,7 @@ def _least(values: np.ndarray, reach: int) -> np.ndarray:
 
 
 def phrases(buffer: np.ndarray, first: np.ndarray, last: np.ndarray, shape: Shape):
-    """(parse key, phrase key, first start, number of starts) of the triggers of strings starting in [first, last)."""
+    """(parse key, both halves of the phrase key, first start, number of starts) of the triggers of strings starting in [first, last)."""
     hashes = RollingHash(buffer)
     grams = hashes.every(shape.gram)
     place = np.arange(len(grams), dtype=np.uint64)
@@ -84,10 +99,8 @@ def phrases(buffer: np.ndarray, first: np.ndarray, last: np.ndarray, shape: Shap
     at = np.flatnonzero(new)
     n = np.diff(np.append(at, len(starts)))
     lo, t = starts[at], trigger[at]
-    parse = hashes.of(t, t + shape.key)
-    form = (t - lo).astype(np.uint64) * np.uint64(1 << 32) + n.astype(np.uint64)
-    phrase = mixed(hashes.of(lo, lo + n - 1 + shape.length) ^ mixed(form))
-    return parse.view(np.int64), phrase.view(np.int64), lo, n
+    parse = hashes.of(t, t + shape.key) & shape.mask
+    return parse.view(np.int64), *digests(buffer, lo, lo + n - 1 + shape.length), lo, n
 
 
 def _pieces(parts: list[bytes], shape: Shape):
@@ -123,11 +136,15 @@ def _third(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _dealt(key: np.ndarray, c: np.ndarray, rid: np.ndarray, lo: np.ndarray, n: np.ndarray, names):
-    """Rows to sort by key, and those already known to be repeated, joined to runs and dealt by document."""
-    known = _third(key, c)
+SMALL, CROWDED, KNOWN = 0, 1, 2
+
+
+def _dealt(keys: list[np.ndarray], rid: np.ndarray, lo: np.ndarray, n: np.ndarray, names: list[str], kind: int):
+    """Rows to sort by keys, and those already known to be repeated, joined to runs and dealt by document."""
+    known = _third(*keys)
     open_ = ~known
-    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(int(open_.sum()), bool)), *(pa.array(x[open_]) for x in (key, c, rid)), pa.array(_packed(lo, n)[open_])], names=names)
+    k, c, d = (x[open_] for x in keys)
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(k), kind, np.int32), k, c, d, rid[open_], _packed(lo, n)[open_])], names=names)
     if known.any():
         r, a, k = rid[known], lo[known], n[known]
         order = np.lexsort((a, r))
@@ -136,11 +153,11 @@ def _dealt(key: np.ndarray, c: np.ndarray, rid: np.ndarray, lo: np.ndarray, n: n
         at = np.flatnonzero(new)
         total = np.add.reduceat(k, at)
         r, a = r[at], a[at]
-        far = mixed(r.astype(np.uint64)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), bool)), pa.array(far), pa.array(np.zeros(len(at), np.int64)), pa.array(r), pa.array(_packed(a, total))], names=names)
+        far, none = mixed(r.astype(np.uint64)).view(np.int64), np.zeros(len(at), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(at), KNOWN, np.int32), far, none, none, r, _packed(a, total))], names=names)
 
 
-ROWS = ["known", "k", "c", "rid", "at"]
+ROWS = ["kind", "k", "c", "d", "rid", "at"]
 
 
 def _parse(shape: Shape):
@@ -148,9 +165,9 @@ def _parse(shape: Shape):
         for batch, parts in slices(batches):
             rid = batch.column("rid").to_numpy()
             for buffer, doc, begin, first, last in _pieces(parts, shape):
-                parse, phrase, lo, n = phrases(buffer, first, last, shape)
+                parse, c, d, lo, n = phrases(buffer, first, last, shape)
                 which = np.searchsorted(first, lo, side="right") - 1
-                yield from _dealt(parse, phrase, rid[doc[which]], lo - begin[which], n, ROWS)
+                yield from _dealt([parse, c, d], rid[doc[which]], lo - begin[which], n, ROWS, SMALL)
 
     return run
 
@@ -162,17 +179,26 @@ def _sorted_rows(batches):
     """(known, columns) of sorted batches, rows to compare apart from rows already known."""
     for batch in batches:
         rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
-        known = rows[0].astype(bool)
+        known = rows[0] == KNOWN
         for flag in (False, True):
             on = known == flag
             if on.any():
                 yield flag, [x[on] for x in rows[1:]]
 
 
+def _differs(*columns: np.ndarray) -> np.ndarray:
+    """Which rows differ from the row before in some column; the first does."""
+    out = np.zeros(len(columns[0]), bool)
+    out[0] = True
+    for x in columns:
+        out[1:] |= x[1:] != x[:-1]
+    return out
+
+
 def _order(batches):
-    """Rows in order of (k, c): WHOLE where the context has a copy, OPEN where other contexts share the key, or BOTH.
+    """Rows in order of (k, c, d): WHOLE where the context has a copy, OPEN where other contexts share the key, or BOTH.
 
-    The first row of a run of equal (k, c) waits for the run's end; all others are known at once.
+    The first row of a run of equal (k, c, d) waits for the run's end; all others are known at once.
     """
     held, more, before = None, 0, False  # the open run's first row, how many followed, whether its key had other runs
     for known, rows in _sorted_rows(batches):
@@ -181,9 +207,8 @@ def _order(batches):
             continue
         if held is not None:
             rows = [np.concatenate((a, b)) for a, b in zip(held, rows)]
-        k, c = rows[0], rows[1]
-        new_key = np.concatenate(([True], k[1:] != k[:-1]))
-        first = new_key | np.concatenate(([True], c[1:] != c[:-1]))
+        k = rows[0]
+        new_key, first = _differs(k), _differs(*rows[:3])
         at = np.flatnonzero(first)
         size = np.diff(np.append(at, len(k)))
         size[0] += more
@@ -204,18 +229,18 @@ def _kinds(rows, kind):
     on = np.flatnonzero(kind)
     if len(on):
         k = np.where(kind[on] >= OPEN, rows[0][on], 0)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[2][on]), pa.array(rows[3][on]), pa.array(kind[on].astype(np.int32)), pa.array(k)], names=["rid", "at", "kind", "k"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows[3][on]), pa.array(rows[4][on]), pa.array(kind[on].astype(np.int32)), pa.array(k)], names=["rid", "at", "kind", "k"])
 
 
-OPENED = ["known", "k", "c", "rid", "at", "context"]
+OPENED = [*ROWS, "context"]
 
 
 def _contexts(shape: Shape):
-    """Opened phrases: contexts of small dictionaries to sort by parse key, strings of crowded ones by fingerprint (c = 1)."""
+    """Opened phrases: contexts of small dictionaries to sort by parse key, strings of crowded ones by parse key and digest."""
 
     def run(batches):
         for batch, parts in _unpacked(batches):
-            rows, rid, lo, size, buffers = ([], [], [], [], []), [], [], [], []
+            rows, rid, lo, size, keys, buffers = ([], [], [], []), [], [], [], [], []
             for r, text, places in zip(batch.column("rid").to_pylist(), parts, batch.column("places")):
                 at = places.values.field("at").to_numpy()
                 k, crowded = places.values.field("k").to_numpy(), places.values.field("crowded").to_numpy(zero_copy_only=False)
@@ -228,18 +253,20 @@ def _contexts(shape: Shape):
                     rid.append(np.full(len(a), r))
                     lo.append(a)
                     size.append(n)
+                    keys.append(k[crowded])
                     # contexts side by side: only their own bytes are hashed
                     buffers.append(np.frombuffer(text, np.uint8)[stretches(a, a + n - 1 + shape.length)])
             m = len(rows[0])
             if m:
                 k, r, at = (pa.array(x, pa.int64()) for x in rows[:3])
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, bool)), k, pa.array(np.zeros(m, np.int64)), r, at, pa.array(rows[3], pa.binary())], names=OPENED)
+                none = pa.array(np.zeros(m, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, SMALL, np.int32)), k, none, none, r, at, pa.array(rows[3], pa.binary())], names=OPENED)
             if rid:
-                rid, lo, n, buffer = map(np.concatenate, (rid, lo, size, buffers))
+                rid, lo, n, k, buffer = map(np.concatenate, (rid, lo, size, keys, buffers))
                 begin = np.concatenate(([0], np.cumsum(n - 1 + shape.length)[:-1]))
                 starts = stretches(begin, begin + n)
-                w = RollingHash(buffer).of(starts, starts + shape.length).view(np.int64)
-                for out in _dealt(w, np.ones(len(w), np.int64), np.repeat(rid, n), stretches(lo, lo + n), np.ones(len(w), np.int64), ROWS):
+                own = [np.repeat(k, n), *digests(buffer, starts, starts + shape.length)]
+                for out in _dealt(own, np.repeat(rid, n), stretches(lo, lo + n), np.ones(len(starts), np.int64), ROWS, CROWDED):
                     yield pa.RecordBatch.from_arrays([*out.columns, pa.nulls(out.num_rows, pa.binary())], names=OPENED)
 
     return run
@@ -282,34 +309,32 @@ def _repeated(k: np.ndarray, rid: np.ndarray, at: np.ndarray, contexts: list[byt
 
 
 def _settle(length: int):
-    """Repeated strings of opened phrases. Rows come sorted: dictionaries by parse key, then strings by fingerprint, then known rows."""
+    """Repeated strings of opened phrases. Rows come sorted: dictionaries by parse key, then strings by parse key and digest, then known rows."""
 
     def run(batches):
         held: list | None = None  # contexts not yet sorted; the last dictionary may go on
         waiting, seen = None, False  # first string of a run, and whether it has left
         for batch in batches:
-            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            known = rows[0].astype(bool)
-            crowded = ~known & (rows[2] == 1)
-            small = np.flatnonzero(~known & ~crowded)
+            kind, *rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            small, crowded, known = np.flatnonzero(kind == SMALL), kind == CROWDED, kind == KNOWN
             if len(small):
-                now = [rows[1][small], rows[3][small], rows[4][small], batch.column("context").take(pa.array(small)).to_pylist()]
+                now = [rows[0][small], rows[3][small], rows[4][small], batch.column("context").take(pa.array(small)).to_pylist()]
                 held = now if held is None else [*[np.concatenate(x) for x in zip(held[:3], now[:3])], held[3] + now[3]]
                 while (cut := _whole_dictionaries(held)) > 0:
                     yield from _repeated(*[x[:cut] for x in held], length)
                     held = [x[cut:] for x in held]
             if crowded.any():
-                own = [x[crowded] for x in (rows[1], rows[3], rows[4])]
+                own = [x[crowded] for x in rows]
                 if waiting is not None:
                     own = [np.concatenate((a, b)) for a, b in zip(waiting, own)]
-                same = own[0][1:] == own[0][:-1]
+                same = ~_differs(*own[:3])[1:]
                 hit = np.concatenate((same, [False])) | np.concatenate(([False], same))
                 last = bool(hit[-1] or (len(hit) == 1 and seen))
                 if seen:
                     hit[0] = False  # the waiting row has left already
                 seen, waiting, on = last, [x[-1:] for x in own], np.flatnonzero(hit)
                 if len(on):
-                    yield pa.RecordBatch.from_arrays([pa.array(own[1][on]), pa.array(own[2][on])], names=["rid", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(own[3][on]), pa.array(own[4][on])], names=["rid", "at"])
             if known.any():
                 yield pa.RecordBatch.from_arrays([pa.array(rows[3][known]), pa.array(rows[4][known])], names=["rid", "at"])
         if held is not None and len(held[0]):
@@ -374,11 +399,10 @@ def _cut(length: int):
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shape: Shape | None = None) -> DataFrame:
     """(doc_id, n_bytes, kept binary, spans of removed bytes) of every document."""
     shape = shape or Shape()
-    rows = replayable(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), "suffix-docs")
-    rows = rows.withColumn("rid", F.monotonically_increasing_id())
-    sort = "known boolean, k long, c long, rid long, at long"
+    rows = numbered(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), "suffix-docs")
+    sort = "kind int, k long, c long, d long, rid long, at long"
     parsed = rows.select("rid", "text").mapInArrow(_parse(shape), sort)
-    ordered = parsed.repartition("k").sortWithinPartitions("known", "k", "c").mapInArrow(_order, "rid long, at long, kind int, k long")
+    ordered = parsed.repartition("k").sortWithinPartitions(F.col("kind") == KNOWN, "k", "c", "d").mapInArrow(_order, "rid long, at long, kind int, k long")
     ordered = materialise(ordered, "suffix-order")
     packed = rows.mapInArrow(_pack, "rid long, doc_id long, z binary")
     opened = ordered.where(F.col("kind") >= OPEN).select("k", "rid", "at")
@@ -389,7 +413,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     opened = opened.join(crowd, ["k", "salt"], "left").select("rid", F.struct("k", "at", F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("place"))
     opened = opened.groupBy("rid").agg(F.collect_list("place").alias("places"))
     contexts = packed.select("rid", "z").join(opened, "rid").mapInArrow(_contexts(shape), f"{sort}, context binary")
-    again = contexts.repartition("k").sortWithinPartitions("known", "c", "k").mapInArrow(_settle(shape.length), "rid long, at long")
+    # c is zero but for strings of crowded dictionaries, which their digest deals
+    again = contexts.repartition("k", "c").sortWithinPartitions("kind", "k", "c", "d").mapInArrow(_settle(shape.length), "rid long, at long")
     again = materialise(again, "suffix-again")
     whole = ordered.where(F.col("kind").isin(WHOLE, BOTH)).select("rid", "at").unionByName(again)
     places = whole.groupBy("rid").agg(F.collect_list("at").alias("places"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialise
-from ._encode import encoder
+from ._encode import encoder, id_width
 from ._flat import slices
 
 LENGTH = 2048
@@ -176,31 +176,31 @@ def _placed(items: DataFrame, sizes: np.ndarray, length: int, slack: int, first:
 
 
 def _class_of(sizes: np.ndarray, column, up: bool):
-    """The class of a length, by binary search over constants in the JVM."""
-    limits = F.array(*[F.lit(int(s)) for s in sizes])
-    below = F.size(F.filter(limits, lambda s: s < column if up else s <= column))
-    return (below if up else below - 1).cast("int")
+    """The class of a length: its place in a table of all lengths up to the last, one lookup a row."""
+    table = np.searchsorted(sizes, np.arange(int(sizes[-1]) + 1), side="left" if up else "right") - (0 if up else 1)
+    listed = F.split(F.lit(",".join(map(str, table.tolist()))), ",").cast("array<int>")
+    return F.get(listed, F.least(column, F.lit(int(sizes[-1]))).cast("int"))
 
 
-def _tokens(tokenizer: str, words: bool, end_id: int):
+def _tokens(tokenizer: str, words: bool, end_id: int, width: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         encode = encoder(tokenizer, words)
         for batch, parts in slices(batches, owner="encoder"):
             ids = [encode.ids(t) + end for t in parts]
-            narrow = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
+            narrow = [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(narrow, pa.binary())], names=["rid", "doc_id", "n", "ids"])
 
     return run
 
 
-def _cutter(length: int, first: int):
+def _cutter(length: int, first: int, width: int):
     def run(batches):
         for b in (x.slice(i, 500) for x in batches for i in range(0, x.num_rows, 500)):
             rows = {k: [] for k in ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")}
             for doc_id, n, ids, blocks, own in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n", "ids", "blocks", "own"))):
-                wide = np.frombuffer(ids, "<u2").astype("<u4")
+                wide = np.frombuffer(ids, f"<u{width}").astype("<u4")
                 places = [(length * i, length, first + blocks + i, 0) for i in range(n // length)]
                 places += [(x["start"], x["length"], x["sequence_id"], x["offset"]) for x in own or ()]
                 for s, k, q, o in sorted(places):
@@ -212,9 +212,10 @@ def _cutter(length: int, first: int):
 
 
 def pack(docs: DataFrame, tokenizer: str, *, words: bool, end_id: int, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """PIECES of all documents: ids as little-endian unsigned 32-bit integers. The vocabulary has at most 65,536 ids."""
+    """PIECES of all documents: ids as little-endian unsigned 32-bit integers."""
+    width = id_width(tokenizer, end_id)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    tokens = materialise(rows.mapInArrow(_tokens(tokenizer, words, end_id), "rid long, doc_id long, n long, ids binary"), "packing-ids")
+    tokens = materialise(rows.mapInArrow(_tokens(tokenizer, words, end_id, width), "rid long, doc_id long, n long, ids binary"), "packing-ids")
     sizes = class_sizes(length)
     rest = tokens.select("rid", (F.col("n") - F.col("n") % length).alias("start"), (F.col("n") % length).alias("length")).where("length > 0")
     one, last = _placed(rest.withColumn("cls", _class_of(sizes, F.col("length"), False)), sizes, length, length // FINENESS, 0, "packing-first")
@@ -233,7 +234,7 @@ def pack(docs: DataFrame, tokenizer: str, *, words: bool, end_id: int, length: i
     blocks = blocks.withColumn("mine", mine).join(parts, "part").select("rid", (F.col("mine") + F.col("before")).cast("long").alias("blocks"))
     side = own.join(blocks, "rid", "full_outer")
     whole = tokens.join(side, "rid", "left").select("doc_id", "n", "ids", F.coalesce("blocks", F.lit(0)).alias("blocks"), "own")
-    return whole.mapInArrow(_cutter(length, last), PIECES)
+    return whole.mapInArrow(_cutter(length, last, width), PIECES)
 
 
 def op5_cutting_stock_packing(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

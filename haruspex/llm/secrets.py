@@ -8,8 +8,11 @@ Spans are (kind, start, end) in code points, end exclusive, leftmost and non-ove
 Base kinds are assign, access and hex; the rule set adds key blocks, web tokens, tokens of code hosts and chat
 services, and credentials in addresses.
 
-Edge cases: null and empty texts are the empty blob and have no spans; repeated rows keep their rows; null
-path values are kept; an empty table gives empty results; extra columns are ignored.
+Edge cases: null and empty texts are the empty blob and have no spans; repeated rows keep their rows, and a pair that
+the ledger holds twice counts once; null path values are kept; of matches of one kind that overlap the leftmost
+counts, spans that start together are ordered by kind as listed, and all of them stay; very long texts are scanned
+whole, each rule in time that grows with their length; an empty table gives empty results; extra columns are ignored
+by scan and kept by redact, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialise, replayable
+from ..storage import free_name, fresh_path, materialise, numbered
 from ._flat import slices
 
 BASE = ("assign", "access", "hex")
@@ -31,7 +34,7 @@ RULES = (
     ("access", r"AKIA[A-Z0-9]+", 20, 0),
     ("hex", r"[0-9a-f]+", 24, 0),
     ("key_block", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?", 0, 0),
-    ("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+    ("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
     ("host_token", r"(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})", 0, 0),
     ("address", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/@]{1,128}@", 0, 0),
 )
@@ -75,41 +78,43 @@ def _scan(batches):
 
 
 class Ledger:
-    """Findings of (blob, rule version) pairs, kept as Parquet under a path; none where it is new."""
+    """Findings of (blob, rule version) pairs, kept as Parquet under a path of the shared folder; none where it is new.
 
-    def __init__(self, spark, path: str | None = None):
+    Appends are idempotent in effect: a pair's findings follow from the pair, so one that was written twice (by two
+    scans at once, or by a job that ran again) is read once.
+    """
+
+    def __init__(self, spark, path: str):
         self.spark, self.path = spark, path
 
     def entries(self, version: str = VERSION) -> DataFrame:
+        """(blob, spans), one row for each blob that this rule version has scanned."""
         schema = f"blob string, version string, {SPANS}"
-        empty = self.spark.createDataFrame([], schema)
-        if self.path is None:
-            return empty
         try:
-            return self.spark.read.schema(schema).parquet(self.path).where(F.col("version") == version)
+            found = self.spark.read.schema(schema).parquet(self.path)
         except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return empty
-            raise
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            found = self.spark.createDataFrame([], schema)
+        return found.where(F.col("version") == version).groupBy("blob").agg(F.first("spans").alias("spans"))
 
-    def add(self, found: DataFrame) -> None:
-        if self.path is not None:
-            found.write.mode("append").parquet(self.path)
+    def add(self, found: DataFrame, version: str = VERSION) -> None:
+        found.select("blob", F.lit(version).alias("version"), "spans").write.mode("append").parquet(self.path)
 
 
 def scan(docs: DataFrame, path: str = "doc_id", text: str = "text", ledger: Ledger | None = None) -> DataFrame:
-    """(path, blob, spans) of every row of docs; only blobs that the ledger lacks are read."""
-    ledger = ledger or Ledger(docs.sparkSession)
-    rows = replayable(docs.select(F.col(path).alias("path"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), "secret-docs")
-    rows = rows.withColumn("rid", F.monotonically_increasing_id())
+    """(path, blob, spans) of every row of docs; only blobs that the ledger lacks are read.
+
+    Without a ledger a fresh one is laid down in the shared folder. Results always come from the ledger: what it held
+    before and what this scan has added to it.
+    """
+    ledger = ledger or Ledger(docs.sparkSession, fresh_path(docs.sparkSession, "secret-ledger"))
+    rows = numbered(docs.select(F.col(path).alias("path"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), "secret-docs")
     # Only row numbers and addresses meet by blob; texts go to their representative's row number, which no group shares.
     paths = materialise(rows.select("rid", "path", F.sha2(F.col("text").cast("binary"), 256).alias("blob")), "secret-paths")
-    known = ledger.entries()
-    unseen = paths.groupBy("blob").agg(F.min("rid").alias("rid")).join(known.select("blob"), "blob", "left_anti")
-    scanned = rows.select("rid", "text").join(unseen, "rid").select("blob", "text").mapInArrow(_scan, f"blob string, {SPANS}")
-    new = materialise(scanned.select("blob", F.lit(VERSION).alias("version"), "spans"), "secret-findings")
-    ledger.add(new)
-    found = known.unionByName(new).where(F.size("spans") > 0).select("blob", "spans")
+    unseen = paths.groupBy("blob").agg(F.min("rid").alias("rid")).join(ledger.entries().select("blob"), "blob", "left_anti")
+    ledger.add(rows.select("rid", "text").join(unseen, "rid").select("blob", "text").mapInArrow(_scan, f"blob string, {SPANS}"))
+    found = ledger.entries().where(F.size("spans") > 0)
     none = F.array().cast(SPANS.split(" ", 1)[1])
     return paths.join(found, "blob", "left").select("path", "blob", F.coalesce("spans", none).alias("spans"))
 
@@ -128,8 +133,9 @@ def op4_blob_ledger_secret_scan(spark, sf_dir: str) -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text", ledger: Ledger | None = None) -> DataFrame:
     """docs with every span replaced by its kind in brackets; overlapping spans go as one, under the first kind."""
-    keyed = replayable(docs, "secret-redact").withColumn("_rid", F.monotonically_increasing_id())
-    found = scan(keyed, "_rid", text, ledger).where(F.size("spans") > 0).select(F.col("path").alias("_rid"), "spans")
+    rid, spans = free_name(docs, "rid"), free_name(docs, "found")
+    keyed = numbered(docs, "secret-redact", rid)
+    found = scan(keyed, rid, text, ledger).where(F.size("spans") > 0).select(F.col("path").alias(rid), F.col("spans").alias(spans))
     step = lambda acc, x: F.when(
         x["end"] <= acc["at"], acc
     ).otherwise(
@@ -139,6 +145,6 @@ def redact(docs: DataFrame, text: str = "text", ledger: Ledger | None = None) ->
         )
     )
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.length(F.col(text)))))
-    out = keyed.join(found, "_rid", "left").withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(clean))
+    clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.length(F.col(text)))))
+    out = keyed.join(found, rid, "left").withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(clean))
     return out.select(*docs.columns)

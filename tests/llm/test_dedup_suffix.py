@@ -68,12 +68,22 @@ def test_against_brute_force(spark, monkeypatch, length, reach, gram, crowd, sor
     assert remove_repeats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [1, 512])
+@pytest.mark.parametrize("bits", [0, 2])
+def test_parse_keys_that_collide_decide_nothing(spark, monkeypatch, crowd, bits):
+    monkeypatch.setattr(m, "CROWD", crowd)
+    rows = corpus(3, 24)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.n_bytes, bytes(r.kept), [tuple(x) for x in r.spans]) for r in remove_repeats(df, shape=Shape(24, 11, 4, bits)).collect()]
+    assert sorted(got, key=str) == brute(rows, 24)
+
+
 def test_long_texts_in_chunks(monkeypatch):
     text = "".join(random.Random(1).choices("abc", k=5000)).encode()
     shape = Shape(24, 11, 4)
     monkeypatch.setattr(m, "CHUNK", 700)
     starts = []
     for buffer, _, begin, first, last in m._pieces([text], shape):
-        k, c, lo, n = m.phrases(buffer, first, last, shape)
+        *_, lo, n = m.phrases(buffer, first, last, shape)
         starts += [x for a, b in zip(lo - begin[0], n) for x in range(a, a + b)]
     assert starts == list(range(5000 - 24 + 1))

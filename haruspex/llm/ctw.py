@@ -14,19 +14,22 @@ most) are summed from these and mixed in afterwards. Scores of the ``GRAMS`` mos
 of the ``WORDS`` most frequent words are broadcast; all others are joined, with the same result.
 
 Edge cases: null and empty texts hold the end mark alone; null doc_ids are never held out; repeated rows keep
-their rows; without training rows all estimates are one half; an empty table gives an empty result; extra columns
-are ignored.
+their rows; very long texts are counted and scored piece by piece, with the context of the piece before; scores are
+sums, so ties need no order; without training rows all estimates are one half; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialise, replayable
-from ._flat import RollingHash, lower_ascii, mixed, slices, stretches
+from ._flat import LONG, WHITE, RollingHash, long_hash, lower_ascii, mixed, pieces, slices, stash, stretches, words_flat
 from ._labelled import remainder
 
 DEPTH = 5
@@ -67,6 +70,33 @@ def words_of(buffer: np.ndarray, first: np.ndarray, ends: np.ndarray) -> tuple[n
     return h, np.concatenate((doc[words], np.arange(len(ends))))
 
 
+def steps(parts: list[bytes]):
+    """(texts, grams of them in order, texts, word hashes of them) in steps: all short texts in one, long ones in pieces."""
+    short = np.array([i for i, t in enumerate(parts) if len(t) <= LONG], np.int64)
+    none, no_doc = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if len(short):
+        buffer, first, ends = normal_form([parts[i] for i in short.tolist()])
+        h, doc = words_of(buffer, first, ends)
+        yield np.repeat(short, ends - first), grams_of(buffer, first, ends), short[doc], h
+    for i, t in enumerate(parts):
+        if len(t) <= LONG:
+            continue
+        form, same = bytearray(b"\n" * DEPTH), bytes(range(256))
+        for piece, alone in pieces(t.translate(lower_ascii()), WHITE):
+            buffer, starts, stops, _ = words_flat([piece], same) if not alone else (None, [], [], None)
+            h = np.array([long_hash(piece)]) if alone else RollingHash(buffer).of(starts, stops)
+            if len(h):
+                form += piece if alone else buffer.tobytes()
+                form += b" "
+                yield no_doc, none, np.full(len(h), i), h
+        form[max(len(form) - 1, DEPTH) :] = b"\n"
+        for lo in range(0, len(form) - DEPTH, LONG):
+            own = bytes(form[lo : lo + LONG + DEPTH])
+            grams = grams_of(np.frombuffer(own + b"\0\0", np.uint8), np.array([DEPTH]), np.array([len(own)]))
+            yield np.full(len(grams), i), grams, no_doc, none
+        yield no_doc, none, np.array([i]), np.array([1], np.uint64)  # the end mark
+
+
 def _counts(batches):
     """(kind 1 word or 2 gram, key, n) of a task, summed before they leave it; grams of rows not learnt from count 0."""
     kept = {1: [], 2: []}
@@ -78,19 +108,16 @@ def _counts(batches):
         kept[kind] = [(u, np.bincount(at, n, len(u)).astype(np.int64))]
 
     for batch, parts in slices(batches):
-        learnt = batch.column("train").to_pylist()
-        for train in (True, False):
-            own = [t for t, x in zip(parts, learnt) if bool(x) == train]
-            if not own:
-                continue
-            buffer, first, ends = normal_form(own)
-            if train:
-                kept[1].append(np.unique(words_of(buffer, first, ends)[0], return_counts=True))
-            u, n = np.unique(grams_of(buffer, first, ends), return_counts=True)
-            kept[2].append((u, n if train else np.zeros(len(u), np.int64)))
-        for kind in (1, 2):
-            if sum(len(y[0]) for y in kept[kind][1:]) > 1 << 20:
-                merged(kind)
+        learnt = np.array([bool(x) for x in batch.column("train").to_pylist()])
+        for in_gram, grams, in_word, words in steps(parts):
+            kept[1].append(np.unique(words[learnt[in_word]], return_counts=True))
+            train = learnt[in_gram]
+            kept[2].append(np.unique(grams[train], return_counts=True))
+            other = np.unique(grams[~train])
+            kept[2].append((other, np.zeros(len(other), np.int64)))
+            for kind in (1, 2):
+                if sum(len(y[0]) for y in kept[kind][1:]) > 1 << 20:
+                    merged(kind)
     for kind in (1, 2):
         if kept[kind]:
             merged(kind)
@@ -291,44 +318,52 @@ class Frequent:
 SCORED = "kind int, h long, rid long, times long, doc_id long, n_tokens long, known long, base double, score double"
 
 
-def _score(shared):
-    """One row (kind 0) for each document, one for each of its words (1) and grams (2) that the frequent ones lack."""
+def _score(shared, key: str):
+    """shared: frequent grams and their scores, frequent words and their logarithms; key names them among what is stashed.
+
+    One row (kind 0) for each document, one for each of its words (1) and grams (2) that the frequent ones lack."""
 
     def run(batches):
         names = [x.split()[0] for x in SCORED.split(", ")]
-        table, frequent, logs = shared.value
+        grams_known, scores, frequent, logs = shared.value
+        kept = stash()
+        if kept.get("frequent", (None,))[0] != key:
+            kept["frequent"] = (key, Frequent(grams_known, scores))
+        table = kept["frequent"][1]
 
         def others(kind, h, rid):
-            u, times = np.unique(np.stack([h.view(np.int64), rid]), axis=1, return_counts=True) if len(h) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+            order = np.lexsort((h, rid))
+            h, rid = h[order], rid[order]
+            first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (rid[1:] != rid[:-1])))) if len(h) else np.zeros(0, np.int64)
+            times = np.diff(np.append(first, len(h)))
             none, blank = pa.nulls(len(times), pa.int64()), pa.nulls(len(times), pa.float64())
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(times), kind, np.int32)), pa.array(u[0]), pa.array(u[1]), pa.array(times), none, none, none, blank, blank], names=names)
-
-        for batch, parts in slices(batches):
-            buffer, first, ends = normal_form(parts)
-            k = len(parts)
-            grams = grams_of(buffer, first, ends)
-            score, lacking = table.find(grams)
-            begin = np.concatenate(([0], np.cumsum(ends - first)[:-1]))
-            score = np.add.reduceat(score, begin)
-            h, doc = words_of(buffer, first, ends)
-            at = np.minimum(np.searchsorted(frequent, h), max(len(frequent) - 1, 0))
-            hit = frequent[at] == h if len(frequent) else np.zeros(len(h), bool)
-            rid = batch.column("rid").to_numpy()
-            base = np.bincount(doc[hit], logs[at[hit]], k)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(times), kind, np.int32)), pa.array(h[first].view(np.int64)), pa.array(rid[first]), pa.array(times), none, none, none, blank, blank], names=names)
+
+        for batch, parts in slices(batches, owner="frequent"):
+            k, rid = len(parts), batch.column("rid").to_numpy()
+            n, known, base, score = np.zeros(k, np.int64), np.zeros(k, np.int64), np.zeros(k), np.zeros(k)
+            for in_gram, grams, in_word, h in steps(parts):
+                found, lacking = table.find(grams)
+                score += np.bincount(in_gram, found, k)
+                at = np.minimum(np.searchsorted(frequent, h), max(len(frequent) - 1, 0))
+                hit = frequent[at] == h if len(frequent) else np.zeros(len(h), bool)
+                n += np.bincount(in_word, minlength=k)
+                known += np.bincount(in_word[hit], minlength=k)
+                base += np.bincount(in_word[hit], logs[at[hit]], k)
+                yield others(1, h[~hit], rid[in_word[~hit]])
+                yield others(2, grams[lacking], rid[in_gram[lacking]])
             row_key = mixed(rid.astype(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array(row_key), pa.array(rid), pa.array(np.ones(k, np.int64)), batch.column("doc_id"), pa.array(np.bincount(doc, minlength=k)), pa.array(np.bincount(doc[hit], minlength=k)), pa.array(base), pa.array(score)], names=names)
-            yield others(1, h[~hit], rid[doc[~hit]])
-            yield others(2, grams[lacking], rid[np.searchsorted(begin, lacking, side="right") - 1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array(row_key), pa.array(rid), pa.array(np.ones(k, np.int64)), batch.column("doc_id"), *map(pa.array, (n, known, base, score))], names=names)
 
     return run
 
 
-def _least_grade(grams: DataFrame, grade) -> int:
-    """The least grade from which on there are at most GRAMS grams; none of grade -1, those that are not learnt."""
+def _least_grade(rows: DataFrame, grade, most: int) -> int:
+    """The least grade from which on there are at most ``most`` rows; none of grade -1, those that are not learnt."""
     total, least = 0, 1 << 30
-    for r in sorted(grams.groupBy(grade.alias("grade")).agg(F.count("*").alias("size")).collect(), reverse=True):
+    for r in sorted(rows.groupBy(grade.alias("grade")).agg(F.count("*").alias("size")).collect(), reverse=True):
         total += r["size"]
-        if total > GRAMS or r.grade < 0:
+        if total > most or r.grade < 0:
             break
         least = r.grade
     return least
@@ -343,17 +378,16 @@ def score(docs: DataFrame, train, text: str = "text", doc_id: str = "doc_id") ->
     words = counts.where("kind = 1").select(F.col("key").alias("h"), "n")
     total = words.agg(F.sum("n").alias("tokens"), F.count("*").alias("distinct")).first()
     tokens, distinct = total.tokens or 0, total.distinct
-    top = words.orderBy(F.desc("n"), "h").limit(WORDS).toArrow()
+    grade = F.when(F.col("n") > 0, F.floor(F.log2("n") * 8)).otherwise(-1).cast("int")
+    top = words.where(grade >= _least_grade(words, grade, WORDS)).toArrow()
     frequent = top["h"].to_numpy().view(np.uint64)
     order = np.argsort(frequent)
     logs = np.log10(top["n"].to_numpy()[order] + 0.1)
     grams = gram_scores(counts.where("kind = 2").select("key", "n"))
-    grade = F.when(F.col("n") > 0, F.floor(F.log2("n") * 8)).otherwise(-1).cast("int")
-    least = _least_grade(counts.where("kind = 2"), grade)
+    least = _least_grade(counts.where("kind = 2"), grade, GRAMS)
     most = grams.where(grade >= least).toArrow()
-    table = Frequent(most["key"].to_numpy().view(np.uint64), most["score"].to_numpy())
-    shared = spark.sparkContext.broadcast((table, frequent[order], logs))
-    scored = rows.withColumn("rid", F.monotonically_increasing_id()).select("rid", "doc_id", "text").mapInArrow(_score(shared), SCORED)
+    shared = spark.sparkContext.broadcast((most["key"].to_numpy().view(np.uint64), most["score"].to_numpy(), frequent[order], logs))
+    scored = rows.withColumn("rid", F.monotonically_increasing_id()).select("rid", "doc_id", "text").mapInArrow(_score(shared, uuid.uuid4().hex), SCORED)
     known = words.select(F.lit(1).alias("kind"), "h", F.log10(F.col("n") + F.lit(0.1)).alias("value"))
     found = known.unionByName(grams.where(grade < least).select(F.lit(2).alias("kind"), F.col("key").alias("h"), F.col("score").alias("value")))
     joined = scored.join(found, ["kind", "h"], "left")
@@ -361,7 +395,7 @@ def score(docs: DataFrame, train, text: str = "text", doc_id: str = "doc_id") ->
     base = F.when(is_word, F.col("times") * F.coalesce(F.col("value"), F.lit(-1.0))).otherwise(F.col("base"))
     known = F.when(is_word, F.when(F.col("value").isNotNull(), F.col("times")).otherwise(0)).otherwise(F.col("known"))
     part = F.when(is_gram, F.col("times") * F.col("value")).otherwise(F.col("score"))
-    out = joined.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum(known).alias("n_known"), F.sum(base).alias("base"), F.sum(part).alias("score"))
+    out = joined.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum(known).alias("n_known"), F.sum(base).alias("base"), F.sum(part).alias("score"))
     norm = float(np.log10(tokens + 0.1 * (distinct + 1)))
     return out.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(norm)).alias("base_score"), "score")
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialise, numbered
-from ._flat import alnum_ascii, mixed, slices, stash
+from ._flat import LONG, alnum_ascii, mixed, pieces, slices, stash
 
 WINDOW = 10
 GRAM = 5
@@ -100,12 +100,11 @@ class Benchmark:
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, set[int]]:
         """(which words are hit, items) of one document, by exact comparison at every position."""
         hit, items = np.zeros(len(ids), bool), set()
-        listed = ids.tolist()
         for n in self.lengths:
             known = ids > 0
             runs = np.flatnonzero(np.convolve(known, np.ones(n, int), "valid") == n) if len(ids) >= n else []
             for i in runs:
-                if found := self.windows.get(tuple(listed[i : i + n])):
+                if found := self.windows.get(tuple(ids[i : i + n].tolist())):
                     hit[i : i + n] = True
                     items |= found
         return hit, items
@@ -136,6 +135,14 @@ def _candidates(bench: Benchmark, ids: np.ndarray, doc: np.ndarray) -> np.ndarra
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
+def _ids(text: bytes, known) -> np.ndarray:
+    """Ids of the words of a translated text, 0 for unknown ones, and a 0 behind them."""
+    if len(text) <= LONG:
+        return np.array([known(w, 0) for w in (*text.split(), b"")], np.int32)
+    found = [np.array([known(w, 0) for w in ([p] if alone else p.split())], np.int32) for p, alone in pieces(text, b" ")]
+    return np.concatenate([*found, np.zeros(1, np.int32)])
+
+
 def _sha(items) -> str:
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
 
@@ -151,10 +158,10 @@ def _scan(items, whole: bool):
         bench, table = kept["benchmark"][1], alnum_ascii()
         known = bench.vocabulary.get
         for batch, parts in slices(batches, owner="benchmark"):
-            split = [t.translate(table).split() for t in parts]
-            counts = np.fromiter(map(len, split), np.int64, len(split))
-            flat = [known(w, 0) for ws in split for w in (*ws, b"")]
-            ids = np.array(flat, np.int64)
+            each = [_ids(t.translate(table), known) for t in parts]
+            counts = np.fromiter(map(len, each), np.int64, len(each)) - 1
+            ids = np.concatenate(each)
+            del each
             ends = np.cumsum(counts + 1)
             doc = np.repeat(np.arange(len(parts)), counts + 1)
             n_hit, n_items, sha = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64), [_sha(())] * len(parts)
@@ -210,10 +217,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
     return counted.select("doc_id", "n_words", size("spans").alias("n_hit"), size("names").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), F.col("spans").isNotNull().alias("contaminated"))
 
 
+def _none(word: bytes, default: int) -> int:
+    return default
+
+
 def _word_counts(batches):
     table = alnum_ascii()
     for batch, parts in slices(batches):
-        yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array([len(t.translate(table).split()) for t in parts], pa.int64())], names=["rid", "doc_id", "n_words"])
+        yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array([len(_ids(t.translate(table), _none)) - 1 for t in parts], pa.int64())], names=["rid", "doc_id", "n_words"])
 
 
 def _clean(items, text: str):

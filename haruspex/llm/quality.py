@@ -5,8 +5,10 @@ every path from a root to a node is a conjunctive rule; a lasso logistic regress
 are compiled back into one Spark column: no Python runs where documents are scored.
 
 Edge cases: null and empty texts have all statistics zero and are scored by them; statistics are never null;
-without labels, or with labels of one kind, the score is that kind's smoothed share; repeated rows keep their
-rows; an empty table gives an empty result; extra columns are ignored.
+without labels, with labels of one kind, or with too few to split, the score is the smoothed share of label 1; a
+statistic equal to a rule's limit is below it, and a score equal to the threshold is predicted 1; very long texts are
+taken whole by Spark's own functions; repeated rows keep their rows; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -130,6 +132,8 @@ class RuleEnsemble:
         limits = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
         binned = np.column_stack([np.searchsorted(q, c, side="left") for q, c in zip(limits, x.T)])
         found = [r for r in grow_rules(binned, y) if all(b < len(limits[f]) for f, b, _ in r)]
+        if not found:  # too few rows to split
+            return cls([], float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))))
         z = np.column_stack([np.logical_and.reduce([(binned[:, f] <= b) == low for f, b, low in r]) for r in found]).astype(float)
         weights, intercept = lasso_logistic(z, y)
         kept = [(tuple((names[f], float(limits[f][b]), low) for f, b, low in r), float(w)) for r, w in zip(found, weights) if abs(w) > 1e-4]

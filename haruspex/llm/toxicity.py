@@ -12,8 +12,10 @@ significant score, so that inflected and compound forms share what is learned. A
 Counts come from seven tenths of a bounded sample of labelled documents, calibration from the rest.
 
 Edge cases: null and empty texts have no word and score by the curve's value for no evidence; without labels, or
-with labels of one kind, the score is that kind's smoothed share; repeated rows keep their rows; an empty table
-gives an empty result; extra columns are ignored.
+with labels of one kind, the score is that kind's smoothed share; very long texts are scored piece by piece and scanned
+whole; of segments that tie the one that began first takes the other in, and a score equal to the threshold is toxic;
+repeated rows keep their rows; an empty table gives an empty result; extra columns are ignored by score and kept by
+keep_clean, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._flat import RollingHash, alnum_ascii, mixed, slices, words_flat
+from ..storage import free_name, materialise
+from ._flat import LONG, RollingHash, alnum_ascii, long_hash, mixed, pieces, slices, words_flat
 from ._labelled import SAMPLE, held_out, logistic, sample
 
 BUCKETS = 1 << 20
@@ -51,6 +54,25 @@ def word_buckets(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, doc
 
 
+def _long_word(word: bytes) -> np.ndarray:
+    """word_buckets of one word of more than LONG bytes."""
+    out = word_buckets([word[:64]])[0]  # its prefixes
+    out[0, 0] = long_hash(word) % np.uint64(BUCKETS)
+    return out
+
+
+def word_steps(parts: list[bytes]):
+    """Words in order as (their texts, buckets); all short texts in one step, a long one in a step for each piece."""
+    short = np.array([i for i, t in enumerate(parts) if len(t) <= LONG], np.int64)
+    buckets, doc = word_buckets([parts[i] for i in short.tolist()])
+    yield short[doc], buckets
+    for i, t in enumerate(parts):
+        if len(t) > LONG:
+            for piece, alone in pieces(t.translate(alnum_ascii()), b" "):
+                buckets = _long_word(piece) if alone else word_buckets([piece])[0]
+                yield np.full(len(buckets), i), buckets
+
+
 def word_scores(table: np.ndarray, buckets: np.ndarray) -> np.ndarray:
     """Of each word the score of its longest known form, less the drift."""
     wide = np.append(table, np.float32(0))
@@ -64,14 +86,19 @@ def word_scores(table: np.ndarray, buckets: np.ndarray) -> np.ndarray:
 def _counts(batches):
     total = np.zeros((2, BUCKETS), np.int64)
     for batch, parts in slices(batches):
-        buckets, doc = word_buckets(parts)
-        if len(buckets):
+        toxic, seen, last = batch.column("label").to_numpy() > 0, np.zeros(BUCKETS, bool), -1
+        for doc, buckets in word_steps(parts):
             pairs = (doc[:, None] * (BUCKETS + 1) + buckets).ravel()
             once = np.unique(pairs)  # a text counts a word once
-            own = once % (BUCKETS + 1)
-            kind = batch.column("label").to_numpy()[once // (BUCKETS + 1)] > 0
+            own, texts = once % (BUCKETS + 1), once // (BUCKETS + 1)
+            texts, own = texts[own < BUCKETS], own[own < BUCKETS]
+            if len(doc) and len(parts[doc[0]]) > LONG:  # over all its pieces
+                if doc[0] != last:
+                    seen[:], last = False, doc[0]
+                texts, own = texts[~seen[own]], own[~seen[own]]
+                seen[own] = True
             for k in (0, 1):
-                total[k] += np.bincount(own[(own < BUCKETS) & (kind == k)], minlength=BUCKETS)
+                total[k] += np.bincount(own[toxic[texts] == bool(k)], minlength=BUCKETS)
     on = np.flatnonzero(total.sum(axis=0))
     for lo in range(0, len(on), 65536):
         i = on[lo : lo + 65536]
@@ -97,7 +124,7 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     up = np.concatenate(([False], scores > 0, [False]))
     begin, end = np.flatnonzero(up[1:] & ~up[:-1]), np.flatnonzero(~up[1:] & up[:-1])
     out: list[tuple[int, int, float, float, int]] = []  # start, end, total before, total at the end, lower neighbour
-    for s, e, low, high in zip(begin.tolist(), end.tolist(), total[begin].tolist(), total[end].tolist()):
+    for s, e, low, high in _rows(begin, end, total[begin], total[end]):
         while True:
             j = len(out) - 1
             while j >= 0 and out[j][2] >= low:
@@ -110,6 +137,12 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s, e, high - low) for s, e, low, high, _ in out]
 
 
+def _rows(*columns: np.ndarray, step: int = 1 << 16):
+    """Rows of the columns as Python numbers, some at a time."""
+    for lo in range(0, len(columns[0]), step):
+        yield from zip(*(c[lo : lo + step].tolist() for c in columns))
+
+
 class Tail:
     """Karlin-Altschul constants of a score distribution: lambda, and K from the rate of background segments."""
 
@@ -132,14 +165,20 @@ def _features(table: np.ndarray, tail: Tail | None):
     def run(batches):
         passage = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
         for batch, parts in slices(batches):
-            buckets, doc = word_buckets(parts)
             k = len(parts)
-            scores = word_scores(table, buckets)
-            n = np.bincount(doc, minlength=k)
-            ends = np.cumsum(n)
+            n, scored = np.zeros(k, np.int64), [[] for _ in parts]
+            for doc, buckets in word_steps(parts):
+                scores, own = word_scores(table, buckets), np.bincount(doc, minlength=k)
+                n += own
+                ends = np.cumsum(own)
+                for i in np.unique(doc).tolist():
+                    scored[i].append(scores[ends[i] - own[i] : ends[i]])
             count, evidence, best, found = np.zeros(k, np.int64), np.zeros(k), np.zeros(k), [[] for _ in range(k)]
-            for i in np.unique(doc[scores > 0]).tolist():
-                own = segments(scores[ends[i] - n[i] : ends[i]])
+            for i, own in enumerate(scored):
+                own = own[0] if len(own) == 1 else np.concatenate(own) if own else np.zeros(0)
+                if not (own > 0).any():
+                    continue
+                own = segments(own)
                 count[i] = len(own)
                 for s, e, x in own:
                     over = tail.evidence(x, int(n[i])) if tail else x
@@ -152,15 +191,16 @@ def _features(table: np.ndarray, tail: Tail | None):
     return run
 
 
-def _with_evidence(table: np.ndarray, tail: Tail | None):
-    """Arrow function: all columns of the rows, with evidence and best behind them."""
+def _with_evidence(table: np.ndarray, tail: Tail | None, text: str, added: list[str]):
+    """Arrow function: all columns of the rows but the one named text, with evidence and best behind them."""
     run = _features(table, tail)
 
     def with_evidence(batches):
-        for batch, _ in slices(batches, "_text"):
-            found = pa.Table.from_batches(list(run([batch.select(["_id", "_text"]).rename_columns(["doc_id", "text"])]))).combine_chunks()
-            columns = [c for n, c in zip(batch.schema.names, batch.columns) if n not in ("_id", "_text")]
-            yield pa.RecordBatch.from_arrays([*columns, *(found[n].chunk(0) for n in ("evidence", "best"))], names=[n for n in batch.schema.names if n not in ("_id", "_text")] + ["_evidence", "_best"])
+        for batch, _ in slices(batches, text):
+            own = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(text)], names=["doc_id", "text"])
+            found = pa.Table.from_batches(list(run([own]))).combine_chunks()
+            kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if n != text]
+            yield pa.RecordBatch.from_arrays([*(c for _, c in kept), *(found[n].chunk(0) for n in ("evidence", "best"))], names=[*(n for n, _ in kept), *added])
 
     return with_evidence
 
@@ -176,7 +216,7 @@ class Toxicity:
 
     @classmethod
     def fit(cls, docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Toxicity:
-        picked = sample(docs, labels, "toxic", rows)
+        picked = materialise(sample(docs, labels, "toxic", rows), "toxicity-sample")
         found = picked.where("fold < 7").select("text", "label").mapInArrow(_counts, "bucket long, other long, toxic long")
         found = found.groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).toArrow()  # BUCKETS rows at most
         counts = np.zeros((2, BUCKETS))
@@ -212,10 +252,11 @@ class Toxicity:
         """Rows of docs, all columns, that score below the threshold; nothing is joined or shuffled."""
         from pyspark.sql.types import DoubleType, StructType
 
-        schema = StructType([*docs.schema.fields]).add("_evidence", DoubleType()).add("_best", DoubleType())
-        rows = docs.withColumns({"_id": F.lit(0).cast("long"), "_text": F.col(text).cast("string")})
-        found = rows.mapInArrow(_with_evidence(self.table, self.tail), schema)
-        return found.where(self._curve("_evidence", "_best") < threshold).drop("_evidence", "_best")
+        own, evidence, best = (free_name(docs, n) for n in ("own_text", "evidence", "best"))
+        schema = StructType([*docs.schema.fields]).add(evidence, DoubleType()).add(best, DoubleType())
+        rows = docs.withColumn(own, F.col(text).cast("string"))
+        found = rows.mapInArrow(_with_evidence(self.table, self.tail, own, [evidence, best]), schema)
+        return found.where(self._curve(evidence, best) < threshold).drop(evidence, best)
 
 
 def op1_toxic_segments(spark, sf_dir: str) -> DataFrame:

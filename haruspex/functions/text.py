@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words without a category's signal.
-STOPWORDS = "a an the will be is are was were do does did to of in on at by for with and or if then than that this it its as from any before after".split()
+STOPWORDS = (
+    "a", "an", "the", "will", "be", "is", "are", "was", "were", "do", "does", "did", "to", "of", "in", "on", "at", "by", "for", "with", "and", "or",
+    "if", "then", "than", "that", "this", "it", "its", "as", "from", "any", "before", "after",
+)
 #: Patterns of a response.
 REASONING = r"(?is)<reasoning>(.*?)</reasoning>"
 PROBABILITY = r"(?is)<probability>(.*?)</probability>"
@@ -58,23 +61,27 @@ def digit_positions(text: Column) -> Column:
 def digit_distribution(tokens: Column) -> Column:
     """struct(share, e: expected digit, mode) of a map of tokens to probabilities; e and mode are null without mass.
 
-    Tokens are stripped; single ASCII digits count; the mode is the lowest of equals.
+    Tokens are stripped; single ASCII digits count; the mode is, of equals, the one that comes first in the map.
     """
-    entries = F.transform(F.map_entries(tokens), lambda x: F.struct(F.trim(x["key"]).alias("k"), x["value"].alias("v")))
+    entries = F.transform(F.map_entries(tokens), lambda x: F.struct(F.regexp_replace(x["key"], r"^\s+|\s+$", "").alias("k"), x["value"].alias("v")))
     digits = F.filter(entries, lambda x: is_digit(x["k"]))
     total = lambda f: F.aggregate(digits, F.lit(0.0), lambda a, x: a + f(x))
     mass = total(lambda x: x["v"])
     every = F.aggregate(entries, F.lit(0.0), lambda a, x: a + x["v"])
     e = F.try_divide(total(lambda x: x["v"] * x["k"].cast("int")), F.when(mass > 0, mass))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.struct(F.aggregate(digits, F.lit(0.0), lambda a, x: a + F.when(x["k"].cast("int") == d, x["v"]).otherwise(0.0)).alias("m"), (-d).alias("d")))
-    return F.struct(F.try_divide(mass, every).alias("share"), mass.alias("mass"), e.alias("e"), F.when(mass > 0, -F.array_max(sums)["d"]).alias("mode"))
+    order = F.transform(digits, lambda x: x["k"].cast("int"))
+    sums = F.transform(order, lambda d: F.struct(F.aggregate(digits, F.lit(0.0), lambda a, x: a + F.when(x["k"].cast("int") == d, x["v"]).otherwise(0.0)).alias("m"), (-F.array_position(order, d)).alias("place"), d.alias("d")))
+    return F.struct(F.try_divide(mass, every).alias("share"), mass.alias("mass"), e.alias("e"), F.when(mass > 0, F.array_max(sums)["d"]).alias("mode"))
 
 
 def read_probability(tenths: Column, hundredths: Column, minimum_mass: float = 0.5) -> Column:
-    """struct(expectation, greedy, gap, failure): E[first digit] / 10 + E[second] / 100; the second is optional."""
+    """struct(expectation, greedy, gap, failure): E[first digit] / 10 + E[second] / 100.
+
+    The second position is optional, and adds nothing where it holds too little digit mass.
+    """
     t, h = digit_distribution(tenths), digit_distribution(hundredths)
-    low = F.coalesce(t["mass"], F.lit(0.0)) < minimum_mass
-    low |= hundredths.isNotNull() & (F.coalesce(h["mass"], F.lit(0.0)) < minimum_mass)
-    e = t["e"] / 10 + F.coalesce(h["e"], F.lit(0.0)) / 100
-    g = t["mode"] / 10 + F.coalesce(h["mode"], F.lit(0)) / 100
+    low = F.coalesce(t["share"], F.lit(0.0)) < minimum_mass
+    second = lambda x: F.coalesce(F.when(h["share"] >= minimum_mass, x), F.lit(0)) / 100
+    e = t["e"] / 10 + second(h["e"])
+    g = t["mode"] / 10 + second(h["mode"])
     return F.struct(F.when(~low, e).alias("expectation"), F.when(~low, g).alias("greedy"), F.when(~low, F.abs(g - e)).alias("gap"), F.when(low, "too_little_digit_mass").alias("failure"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,9 +104,9 @@ def transfer_reason(*, lo: Column, hi: Column, min_days: int) -> Column:
     """First rule that a swept market breaks. category: of its series, by a left join."""
     days = F.floor((F.unix_micros("settled") - F.unix_micros("opened")) / F.lit(86_400_000_000))
     return first_reason([
-        ("not_finalized", ~F.col("status").eqNullSafe("finalized")), ("combination", F.col("mve_collection_ticker").isNotNull()), ("no_event", F.coalesce("event_ticker", F.lit("")) == ""), ("unknown_series", F.col("category").isNull()),
-        ("mechanical", ~F.col("category").isin(*JUDGMENT)), ("numeric_title", F.col("title").rlike(NUMERIC_TITLE)), ("no_result", ~F.coalesce(F.col("result").isin("yes", "no"), F.lit(False))),
-        ("bad_timestamp", F.col("opened").isNull() | F.col("settled").isNull()), ("outside_window", (F.col("settled") < lo) | (F.col("settled") >= hi)), ("too_short", days < min_days),
+        ("not_finalized", ~F.col("status").eqNullSafe("finalized")), ("mve", F.coalesce("mve_collection_ticker", F.lit("")) != ""), ("no_event", F.coalesce("event_ticker", F.lit("")) == ""), ("unknown_series", F.col("category").isNull()),
+        ("mechanical_category", ~F.col("category").isin(*JUDGMENT)), ("numeric_title", F.col("title").rlike(NUMERIC_TITLE)), ("no_result", ~F.coalesce(F.col("result").isin("yes", "no"), F.lit(False))),
+        ("bad_timestamps", F.col("opened").isNull() | F.col("settled").isNull()), ("outside_window", (F.col("settled") < lo) | (F.col("settled") >= hi)), ("short_lifetime", days < min_days),
     ])
 
 
@@ -117,9 +119,15 @@ def series_of(ticker: Column) -> Column:
     return F.substring_index(ticker, "-", 1)
 
 
+#: White space of any kind at the very end.
+SPACE_TAIL = r"(?U)[\s\x1c-\x1f]+\z"
+
+
 def rebuilt_prompt(title: Column, subtitle: Column) -> Column:
     """title, with what the subtitle adds if the title doesn't say it."""
-    bare = F.regexp_replace(F.rtrim(F.regexp_replace(F.rtrim(title), r"\?+$", "")), r"\s+$", "")
+    bare = title
+    for tail in (SPACE_TAIL, r"\?+\z", SPACE_TAIL):
+        bare = F.regexp_replace(bare, tail, "")
     return F.when(F.contains(F.lower(title), F.lower(subtitle)), title).otherwise(F.concat(bare, F.lit(" — resolves YES if: "), subtitle))
 
 
@@ -167,7 +175,22 @@ def extreme_share(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"), share(at).alias("at_ends"), share(near).alias("near_ends"), F.avg(F.when(soft, at.cast("int"))).alias("soft_at_ends"), F.avg(F.when(soft, near.cast("int"))).alias("soft_near_ends"))
 
 
+#: The text of a prompt and what stands for absent parts.
+PROMPT = """You are a careful forecaster. Estimate the probability that the question below resolves YES.
+
+Question: {question}
+Resolution criteria: {criteria}
+Scheduled resolution: {scheduled}
+You are forecasting as of: {as_of}
+
+Reply with exactly this and nothing else:
+<reasoning>two to four sentences</reasoning>
+<probability>0.XX</probability>"""
+ABSENT = {"criteria": "Resolves YES if the event occurs.", "scheduled": "unknown", "as_of": "unknown"}
+
+
 def prompt(question: Column, criteria: Column, scheduled: Column, as_of: Column) -> Column:
-    """Prompt of one question; absent parts have stated defaults, dates are cut to the day."""
-    part = lambda c, default: F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
-    return F.concat(F.lit("Question: "), question, F.lit("\nCriteria: "), part(criteria, "not stated"), F.lit("\nResolves: "), F.substring(part(scheduled, "unknown"), 1, 10), F.lit("\nAs of: "), F.substring(part(as_of, "unknown"), 1, 10))
+    """Prompt of one question; null and empty parts have stated defaults."""
+    given = {"question": question, "criteria": criteria, "scheduled": scheduled, "as_of": as_of}
+    shown = {k: F.coalesce(F.nullif(c, F.lit("")), F.lit(ABSENT[k])) if k in ABSENT else c for k, c in given.items()}
+    return F.concat(*[shown[x] if i % 2 else F.lit(x) for i, x in enumerate(re.split(r"\{(\w+)\}", PROMPT))])

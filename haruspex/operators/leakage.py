@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import math
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,10 @@ MAX_TIER = 2
 UNKNOWN_TIER = 3
 
 
+#: Outcome strings that are broadcast at most.
+MANY_FORMS = 200_000
+
+
 def source_key(source: Column) -> Column:
     return F.lower(F.trim(source))
 
@@ -30,26 +35,73 @@ def registry(spark, overrides: dict[str, int] | None = None) -> DataFrame:
     return spark.createDataFrame(sorted(tiers.items()), "source_key string, tier int")
 
 
-def screen(evidence: DataFrame, tiers: DataFrame) -> DataFrame:
-    """evidence with tier, reasons (timestamp, provenance, source, revision checks in order), admissible and exemption.
+@dataclass(frozen=True)
+class Policy:
+    """What a screen asks of a document."""
+
+    max_tier: int = MAX_TIER
+    unknown_tier: int = UNKNOWN_TIER
+    #: Provenances that no tier redeems, and tiers at which an unknown one is let through.
+    disqualifying: tuple[str, ...] = ("crawl", "inferred")
+    unknown_allowed: tuple[int, ...] = (1,)
+    pinned_sources: tuple[str, ...] = PINNED_SOURCES
+    reject_modified: bool = True
+    reject_after_retrieval: bool = True
+
+
+def scan_outcomes(snippet: Column, forms: Column, strictness: str = "normalized", threshold: float | None = None) -> Column:
+    """struct(matched_forms, max_similarity) of one text against its own array of outcome strings.
 
-    evidence: source, timestamp, provenance, last_modified, retrieved_at, url, as_of.
+    exact: as substrings; normalized: after scan_form as well; fuzzy: also where some window is similar by the threshold
+    or more. Strings in which a text is found count 1; blank ones match nothing.
+    """
+    if strictness not in ("exact", "normalized", "fuzzy"):
+        raise ValueError(f"no such strictness: {strictness}")
+    if (strictness == "fuzzy" and threshold is None) or (threshold is not None and not 0 < threshold <= 1):
+        raise ValueError("fuzzy matching needs a threshold in (0, 1]")
+    own = scan_form(snippet)
+    holds = lambda f: F.contains(snippet, f) | ((scan_form(f) != "") & F.contains(own, scan_form(f)) if strictness != "exact" else F.lit(False))
+    asked = F.filter(F.coalesce(forms, F.array().cast("array<string>")), lambda f: f.rlike(r"\S"))
+    found = F.filter(asked, lambda f: F.coalesce(holds(f), F.lit(False)))
+    if strictness != "fuzzy":
+        return F.struct(found.alias("matched_forms"), F.when(F.size(found) > 0, 1.0).otherwise(0.0).alias("max_similarity"))
+
+    @F.pandas_udf("array<double>")
+    def ratios(text: pd.Series, sought: pd.Series) -> pd.Series:
+        return pd.Series([[_best_ratio(t or "", f) for f in fs] for t, fs in zip(text, sought)])
+
+    each = ratios(own, F.transform(asked, scan_form))
+    scored = F.zip_with(asked, each, lambda f, r: F.struct(f.alias("f"), F.when(F.coalesce(holds(f), F.lit(False)), 1.0).otherwise(r).alias("r")))
+    hit = F.transform(F.filter(scored, lambda x: x["r"] >= threshold), lambda x: x["f"])
+    return F.struct(hit.alias("matched_forms"), F.coalesce(F.array_max(F.transform(scored, lambda x: x["r"])), F.lit(0.0)).alias("max_similarity"))
+
+
+def screen(evidence: DataFrame, tiers: DataFrame, policy: Policy = Policy(), *, forms: str | None = None, snippet: str = "snippet", strictness: str = "normalized", threshold: float | None = None) -> DataFrame:
+    """evidence with tier, reasons (timestamp, provenance, source, revision and outcome checks in order), admissible and exemption.
+
+    evidence: source, timestamp, provenance, last_modified, retrieved_at, url, as_of. forms: a column with the outcome
+    strings of the row's question; with it, the snippet is scanned too and matched_forms and max_similarity are given.
+    tiers is a registry of sources, a vocabulary that is kept on the driver.
     """
     rows = evidence.withColumn("source_key", source_key(F.col("source"))).join(F.broadcast(tiers), "source_key", "left")
     dated = F.col("timestamp").isNotNull()
-    effective = F.coalesce("tier", F.lit(UNKNOWN_TIER))
-    exempt = (F.col("provenance") == "unknown") & (effective == 1)
-    reasons = all_reasons([
+    effective = F.coalesce("tier", F.lit(policy.unknown_tier))
+    exempt = (F.col("provenance") == "unknown") & effective.isin(*policy.unknown_allowed)
+    rules = [
         ("missing_timestamp", ~dated),
         ("timestamp_not_before_as_of", dated & (F.col("timestamp") >= F.col("as_of"))),
-        ("modified_at_or_after_as_of", dated & (F.col("last_modified") >= F.col("as_of"))),
-        ("timestamp_after_retrieval", dated & (F.col("timestamp") > F.col("retrieved_at"))),
-        ("ambiguous_provenance", F.col("provenance").isin("crawl", "inferred") | ((F.col("provenance") == "unknown") & ~exempt)),
+        ("modified_at_or_after_as_of", F.lit(policy.reject_modified) & dated & (F.col("last_modified") >= F.col("as_of"))),
+        ("timestamp_after_retrieval", F.lit(policy.reject_after_retrieval) & dated & (F.col("timestamp") > F.col("retrieved_at"))),
+        ("ambiguous_provenance", F.col("provenance").isin(*policy.disqualifying) | ((F.col("provenance") == "unknown") & ~exempt)),
         ("unknown_source", F.col("tier").isNull()),
-        ("untrusted_source_tier", effective > MAX_TIER),
-        ("unpinned_revision", F.col("source_key").isin(*PINNED_SOURCES) & ~F.coalesce(F.col("url").rlike(REVISION_PIN), F.lit(False))),
-    ])
-    rows = rows.withColumn("reasons", reasons).withColumn("admissible", F.size("reasons") == 0)
+        ("untrusted_source_tier", effective > policy.max_tier),
+        ("unpinned_revision", F.col("source_key").isin(*policy.pinned_sources) & ~F.coalesce(F.col("url").rlike(REVISION_PIN), F.lit(False))),
+    ]
+    if forms is not None:
+        rows = rows.withColumn("_scan", scan_outcomes(F.col(snippet), F.col(forms), strictness, threshold))
+        rows = rows.withColumns({"matched_forms": F.col("_scan.matched_forms"), "max_similarity": F.col("_scan.max_similarity")}).drop("_scan")
+        rules.append(("outcome_string_match", F.size("matched_forms") > 0))
+    rows = rows.withColumn("reasons", all_reasons(rules)).withColumn("admissible", F.size("reasons") == 0)
     return rows.withColumn("exemption", F.when(F.col("admissible") & exempt, "tier1_unknown_provenance")).drop("source_key")
 
 
@@ -84,12 +136,13 @@ def scan_form(text: Column) -> Column:
 def match_outcomes(docs: DataFrame, forms: DataFrame, snippet: str = "snippet", form: str = "form", strictness: str = "normalized") -> DataFrame:
     """Documents joined with the outcome strings that they hold: exact, or normalized as well (matched_as says which).
 
-    forms is a stated set of queries and is broadcast; blank forms match nothing. The words inside a form, but for its
+    forms is a stated set of queries, broadcast up to MANY_FORMS of them; blank forms match nothing. The words inside a form, but for its
     first and last, must be whole words of a document that holds it. So a form of three words or more is looked up by
     the longest of them, and compared only with documents that have that word; shorter ones are compared with all.
     """
     if strictness not in ("exact", "normalized"):
-        raise ValueError("fuzzy matching needs best_similarity and a threshold")
+        raise ValueError("fuzzy matching of rows with their own strings is scan_outcomes'")
+    spread = F.broadcast if forms.limit(MANY_FORMS + 1).count() <= MANY_FORMS else lambda df: df
     words = F.split("_form", " ")
     inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
@@ -101,8 +154,8 @@ def match_outcomes(docs: DataFrame, forms: DataFrame, snippet: str = "snippet",
     anchored = f.where("_anchor is not null")
     anchors = anchored.agg(F.collect_set("_anchor").alias("_anchors"))
     some = d.crossJoin(F.broadcast(anchors)).withColumn("_hit", F.array_intersect(F.split("_doc", " "), F.col("_anchors"))).where(F.size("_hit") > 0)
-    some = some.withColumn("_anchor", F.explode("_hit")).drop("_hit", "_anchors").join(F.broadcast(anchored), "_anchor").where(holds)
-    rest = d.join(F.broadcast(f.where("_anchor is null")), holds)
+    some = some.withColumn("_anchor", F.explode("_hit")).drop("_hit", "_anchors").join(spread(anchored), "_anchor").where(holds)
+    rest = d.join(spread(f.where("_anchor is null")), holds)
     rows = some.unionByName(rest.select(*some.columns))
     return rows.withColumn("matched_as", F.when(exact, "exact").otherwise("normalized")).drop("_doc", "_form", "_anchor")
 
@@ -165,21 +218,21 @@ def probe_report(cases: DataFrame, group: tuple[str, ...] = ("label",), q: float
 
 
 def binomial_upper_count(n: int, p: float, alpha: float = 0.05) -> int:
-    """The least k with P(X <= k) >= 1 - alpha."""
+    """The least k with P(X <= k) >= 1 - alpha. Terms are made in logarithms, as (1 - p)^n underflows for large n."""
     total = 0.0
     for k in range(n + 1):
-        total += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        total += math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p))
         if total >= 1 - alpha:
             return k
     return n
 
 
 def binomial_upper(n: Column, p: float, alpha: float = 0.05) -> Column:
-    """binomial_upper_count as a column, by a fold over 0..n with the ratio of neighbouring terms."""
-    start = F.struct(F.lit(0.0).alias("cdf"), F.pow(F.lit(1 - p), n).alias("term"), F.lit(-1).cast("long").alias("k"))
+    """binomial_upper_count as a column, by a fold over 0..n with the logarithms of neighbouring terms' ratios."""
+    start = F.struct(F.lit(0.0).alias("cdf"), (n * F.lit(math.log1p(-p))).alias("term"), F.lit(-1).cast("long").alias("k"))
     step = lambda a, i: F.struct(
-        (a["cdf"] + a["term"]).alias("cdf"), (a["term"] * (n - i) / (i + 1) * F.lit(p / (1 - p))).alias("term"),
-        F.when((a["k"] < 0) & (a["cdf"] + a["term"] >= 1 - alpha), i).otherwise(a["k"]).alias("k"),
+        (a["cdf"] + F.exp(a["term"])).alias("cdf"), F.when(i < n, a["term"] + F.ln((n - i) / (i + 1)) + F.lit(math.log(p) - math.log1p(-p))).otherwise(a["term"]).alias("term"),
+        F.when((a["k"] < 0) & (a["cdf"] + F.exp(a["term"]) >= 1 - alpha), i).otherwise(a["k"]).alias("k"),
     )
     return F.aggregate(F.sequence(F.lit(0).cast("long"), n.cast("long")), start, step, lambda a: F.when(a["k"] < 0, n).otherwise(a["k"]))
 
@@ -199,11 +252,23 @@ def null_threshold(cases: DataFrame, method: str = "quantile", q: float = 0.95,
     return cases.groupBy(*group).agg(F.when(n > 1, value).otherwise(F.raise_error(F.lit("one null case gives no threshold")).cast("double")).alias("threshold"), n.alias("n"), F.lit(rate).alias("expected_rate"))
 
 
-def null_gate(cases: DataFrame, q: float = 0.95, alpha: float = 0.05) -> DataFrame:
-    """Adversarial cases beyond the null's quantile against what chance allows; passed if no more."""
-    threshold = cases.where("label = 'null'").agg(F.percentile("delta", q).alias("threshold"), F.count("*").alias("n_null"))
-    out = cases.where("label = 'adversarial'").crossJoin(F.broadcast(threshold)).agg(F.count("*").alias("n"), F.max("threshold").alias("threshold"), F.max("n_null").alias("n_null"), F.count_if(F.col("delta") > F.col("threshold")).alias("exceed"))
-    return out.withColumn("allowed", binomial_upper(F.col("n"), 1 - q, alpha)).withColumn("passed", F.col("exceed") <= F.col("allowed")).withColumn("well_estimated", F.col("n_null") >= 20)
+def null_gate(cases: DataFrame, q: float = 0.95, alpha: float = 0.05, *, method: str = "quantile", z: float = 1.96, version: str | None = None) -> DataFrame:
+    """Adversarial cases beyond the null's threshold against what chance allows; passed if no more.
+
+    No adversarial case, or fewer than two null ones, is an error. version: a column with the model's version, of which
+    both arms together must have one, as a null belongs to the model that made it.
+    """
+    null = null_threshold(cases.where("label = 'null'"), method, q, z).select("threshold", F.col("n").alias("n_null"), "expected_rate")
+    one = [F.count_distinct(F.coalesce(F.col(version).cast("string"), F.lit(""))).alias("_versions")] if version else []
+    arm = cases.where("label = 'adversarial'").crossJoin(F.broadcast(null))
+    out = arm.agg(F.count("*").alias("n"), F.max("threshold").alias("threshold"), F.max("n_null").alias("n_null"), F.count_if(F.col("delta") > F.col("threshold")).alias("exceed"))
+    refuse = lambda bad, why, c: F.when(bad, F.raise_error(F.lit(why)).cast("long")).otherwise(c)
+    out = out.withColumn("n", refuse(F.col("n") == 0, "no adversarial case to judge", F.col("n")))
+    if one:
+        out = out.crossJoin(F.broadcast(cases.where("label in ('null', 'adversarial')").agg(*one)))
+        out = out.withColumn("n", refuse(F.col("_versions") > 1, "both arms must come from one model", F.col("n"))).drop("_versions")
+    rate = 1 - q if method == "quantile" else 1 - normal_cdf(z)
+    return out.withColumn("allowed", binomial_upper(F.col("n"), rate, alpha)).withColumn("passed", F.col("exceed") <= F.col("allowed")).withColumn("well_estimated", F.col("n_null") >= 20)
 
 
 def confidence_curve(df: DataFrame, bars=(0.7, 0.8, 0.9, 0.95, 0.99), p: str = "probability", y: str = "outcome", group: tuple[str, ...] = ()) -> DataFrame:

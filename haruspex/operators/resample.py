@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +47,41 @@ def hash_bootstrap(df: DataFrame, value: str | Column, cluster: str, *, level: f
     return means.agg(F.percentile("mean", lo).alias("lower"), F.percentile("mean", 1 - lo).alias("upper"), F.count("*").alias("n_resamples")).crossJoin(point)
 
 
+def vector_bootstrap(df: DataFrame, value: str | Column, cluster: str, *, level: float = 0.95, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
+    """hash_bootstrap for many resamples: a task adds its clusters' draws to one vector of sums, and only vectors move.
+
+    A cluster enters resample b as often as a Poisson(1) draw by a 64-bit mix of seed, cluster and b says.
+    """
+    import numpy as np
+
+    grouped = clusters(df, value, cluster)
+    cuts = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    limits = (cuts * 2.0**32).astype(np.uint64)
+
+    def mix(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        return x ^ (x >> np.uint64(31))
+
+    def sums(batches):
+        total = np.zeros((2, resamples))
+        steps = mix(np.arange(resamples, dtype=np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B9))
+        for pdf in batches:
+            for lo in range(0, len(pdf), 64):
+                h, s, n = (pdf[c].to_numpy()[lo : lo + 64] for c in ("h", "s", "n"))
+                u = mix(h.astype(np.int64).view(np.uint64)[:, None] ^ steps[None, :]) >> np.uint64(32)
+                times = np.searchsorted(limits, u.ravel(), side="right").reshape(u.shape)
+                total += np.stack([s.astype(float), n.astype(float)]) @ times
+        yield pd.DataFrame({"b": np.arange(resamples), "s": total[0], "n": total[1]})
+
+    spread = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    drawn = grouped.select(F.xxhash64("cluster").alias("h"), F.col("s").cast("double").alias("s"), "n").repartition(spread, "h").mapInPandas(sums, "b long, s double, n double")
+    means = drawn.groupBy("b").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean"))
+    lo = (1 - level) / 2
+    point = grouped.agg((F.sum("s") / F.sum("n")).alias("point"), F.count("*").alias("n_clusters"), F.sum("n").alias("n_observations"))
+    return means.agg(F.percentile("mean", lo).alias("lower"), F.percentile("mean", 1 - lo).alias("upper"), F.count("mean").alias("n_resamples")).crossJoin(point)
+
+
 def exact_bootstrap(rows: list[tuple[float, int]], *, level: float = 0.95, resamples: int = RESAMPLES, seed: int = SEED) -> tuple[float, float, float]:
     """(point, lower, upper) from cluster sums in order of first appearance, with the serial generator and its seed.
 

@@ -41,6 +41,13 @@ def examples(df: DataFrame, order: str, reason: str = "reason", limit: int = 3)
     return df.where(F.col(reason).isNotNull()).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= limit).drop("_k")
 
 
+def require_columns(df: DataFrame, *names: str) -> DataFrame:
+    """df, if it has the columns that what follows reads; anything richer is carried through."""
+    if missing := [n for n in names if n not in df.columns]:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return df
+
+
 class Invariants:
     """Declared checks of load-bearing fields; every check names the outside fact it rests on."""
 

@@ -12,14 +12,27 @@ from ..functions.text import parse_forecast
 
 
 def forecast_with(df: DataFrame, forecaster: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
-    """df with response and transport_error; the forecaster gets a batch of rows, and an exception fails that batch alone."""
+    """df with response and transport_error, which names the exception of a row whose forecast failed.
+
+    The forecaster gets a batch of rows; if it raises, the batch's rows are asked for one by one, so that a failure is
+    its own row's alone.
+    """
+
+    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.assign(response=forecaster(pdf).astype(object), transport_error=None)
 
     def run(batches):
         for pdf in batches:
             try:
-                yield pdf.assign(response=forecaster(pdf).astype(object), transport_error=None)
-            except Exception as e:
-                yield pdf.assign(response=None, transport_error=type(e).__name__)
+                yield ask(pdf)
+                continue
+            except Exception:
+                each = [pdf.iloc[i : i + 1] for i in range(len(pdf))]
+            for row in each:
+                try:
+                    yield ask(row)
+                except Exception as e:
+                    yield row.assign(response=None, transport_error=f"transport_{type(e).__name__}")
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInPandas(run, f"{fields}, response string, transport_error string")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.probability import banker_round
 from .ingest import drop_nonpredictive
+from .rules import require_columns
 
 
 class Infeasible(ValueError):
@@ -30,9 +31,33 @@ def blake_order(key: Column, salt: str) -> Column:
     return h(key.cast("string"))
 
 
+#: Leading hexadecimal digits of a hash by which rows are counted to find a cut.
+PREFIX = 4
+
+
+def _cut(rows: DataFrame, order: str, n: int) -> tuple[str | None, int]:
+    """(the prefix of hash in which the n-th row in order lies, how many of its rows are among the n).
+
+    The counts, 65,536 at most, say where the cut is, so that no task sorts more than one prefix's rows.
+    """
+    left = n
+    for r in sorted(rows.groupBy(F.substring(order, 1, PREFIX).alias("prefix")).count().collect()):
+        if left <= r["count"]:
+            return r.prefix, left
+        left -= r["count"]
+    return None, 0
+
+
 def hash_first(df: DataFrame, key: str, n: int, salt: str, hasher=sha_order) -> DataFrame:
     """The n rows first in hash order."""
-    return df.withColumn("_h", hasher(F.col(key), salt)).orderBy("_h", key).limit(n).drop("_h")
+    rows = df.withColumn("_h", hasher(F.col(key), salt))
+    if n <= 0:
+        return df.limit(0)
+    prefix, rest = _cut(rows, "_h", n)
+    if prefix is None:
+        return df
+    own = F.substring("_h", 1, PREFIX)
+    return rows.where(own < prefix).unionByName(rows.where(own == prefix).orderBy("_h", key).limit(rest)).drop("_h")
 
 
 def bankers(x: float) -> int:
@@ -83,24 +108,27 @@ def trace_class(p: Column, y: Column, base_rate: float, margin: float) -> Column
 def _ranked(df: DataFrame, flag: Column, key: str, n: Column | None, fraction: float, salt: str, hasher, name: str) -> DataFrame:
     """df with a boolean: the first round(count * fraction) flagged rows in hash order.
 
-    The cut is the hash at that rank, found by a limit, so no window holds all rows.
+    The cut is the hash at that rank, found from counts, so neither a window nor a sort holds all rows.
     """
     rows = df.withColumn("_f", F.coalesce(flag, F.lit(False))).withColumn("_h", F.when(F.col("_f"), F.concat(hasher(F.col(key), salt), F.lit(":"), F.col(key).cast("string"))))
     want = int(rows.agg(banker_round((n if n is not None else F.count_if("_f")) * F.lit(fraction)).alias("w")).first().w)
-    if want > 0:
-        first = rows.where("_f").select("_h").orderBy("_h").limit(want)
-        cut = first.agg(F.max("_h").alias("_cut"), F.count("*").alias("_n"))
-        rows = rows.crossJoin(F.broadcast(cut))
-        picked = F.coalesce(F.col("_h") <= F.col("_cut"), F.lit(False))
-        return rows.withColumn(name, picked).drop("_f", "_h", "_cut", "_n")
-    return rows.withColumn(name, F.lit(False)).drop("_f", "_h")
+    flagged = rows.where("_f")
+    prefix, rest = _cut(flagged, "_h", want) if want > 0 else ("", 0)
+    if want <= 0:
+        picked = F.lit(False)
+    elif prefix is None:
+        picked = F.col("_f")
+    else:
+        cut = flagged.where(F.substring("_h", 1, PREFIX) == prefix).select("_h").orderBy("_h").limit(rest).agg(F.max("_h")).first()[0]
+        picked = F.coalesce(F.col("_h") <= cut, F.lit(False))
+    return rows.withColumn(name, picked).drop("_f", "_h")
 
 
 def select_traces(df: DataFrame, key: str, *, base_rate: float, margin: float, wrong_fraction: float, p: str = "p", y: str = "y", salt: str = "trace", hasher=sha_order) -> DataFrame:
     """Traces with their class and whether they are kept: all on the correct side, a share of confident misses."""
     if not 0 <= wrong_fraction <= 1:
         raise ValueError("wrong_fraction lies in [0, 1]")
-    rows = df.withColumn("class", trace_class(F.col(p), F.col(y), base_rate, margin))
+    rows = require_columns(df, key, p, y).withColumn("class", trace_class(F.col(p), F.col(y), base_rate, margin))
     rows = _ranked(rows, F.col("class") == "confidently_wrong", key, None, wrong_fraction, salt, hasher, "_wrong")
     return rows.withColumn("kept", (F.col("class") == "correct_side") | F.col("_wrong")).drop("_wrong")
 
@@ -109,7 +137,8 @@ def training_targets(traces: DataFrame, soft: DataFrame, key: str, *, soft_fract
     """Traces with target, kind and provenance: round(n * soft_fraction) of those with a soft target use it."""
     if not 0 <= soft_fraction <= 1:
         raise ValueError("soft_fraction lies in [0, 1]")
-    rows = traces.join(soft.select(key, F.col("target").alias("_soft"), F.col("provenance").alias("_p")), key, "left")
+    require_columns(traces, key, y)
+    rows = traces.join(require_columns(soft, key, "target", "provenance").select(key, F.col("target").alias("_soft"), F.col("provenance").alias("_p")), key, "left")
     state = rows.agg(banker_round(F.count("*") * F.lit(soft_fraction)).alias("w"), F.count("_soft").alias("have")).first()
     if state.w > state.have:
         raise Infeasible(f"{state.w} soft targets asked, {state.have} there")

@@ -86,12 +86,18 @@ def horizon_scores(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
 
 
 class BaseRates:
-    """Mean outcome by class where it has enough rows, else overall; fitted on training rows alone."""
+    """Mean outcome by class where it has enough resolved rows, else overall; fitted on resolved training rows alone.
+
+    Rows without outcome say nothing and are left out before anything else is asked of them.
+    """
 
     def __init__(self, train: DataFrame, group: str, y: str = "y", minimum: int = 30, split_col: str | None = "split"):
-        if split_col and not train.where(F.col(split_col) != "train").isEmpty():
+        resolved = train.where(F.col(y).isNotNull())
+        if split_col and not resolved.where(~F.col(split_col).eqNullSafe("train")).isEmpty():
             raise ValueError("base rates are fitted on training rows alone")
-        per = train.groupBy(group).agg(F.count("*").alias("n"), F.sum(y).alias("s"))
+        if resolved.isEmpty():
+            raise ValueError("no resolved training rows to fit base rates on")
+        per = resolved.groupBy(group).agg(F.count("*").alias("n"), F.sum(y).alias("s"))
         every = Window.partitionBy(F.lit(0))  # one row a class
         self.rates = per.select(group, (F.sum("s").over(every) / F.sum("n").over(every)).alias("overall"), F.when(F.col("n") >= minimum, F.col("s") / F.col("n")).alias("own"))
         self.group = group

@@ -108,13 +108,13 @@ iso as (select g.grp, g.p, any_value(g.sy) sy, any_value(g.n) n, max(mn) fit fro
 
 @query("agg12_corp", f"with {X.FORECAST}, {PAV}, s as (select grp, sum(n) n, sum(n * p * p - 2 * p * sy + sy) / sum(n) score, sum(n * fit * fit - 2 * fit * sy + sy) / sum(n) rec, sum(sy) / sum(n) * (1 - sum(sy) / sum(n)) unc from iso group by grp) select grp, n::bigint n, {R('score')} score, {R('score - rec')} mcb, {R('unc - rec')} dsc, {R('unc')} unc from s")
 def agg12(spark, d):
-    return rounded(isotonic.corp(scoring.pooled(X.forecast(spark, d), group=["grp"]), ["grp"], few=50))
+    return rounded(isotonic.corp(scoring.pooled(X.forecast(spark, d), group=["grp"]), ["grp"]))
 
 
 @query("agg13_isotonic_apply", f"with {X.FORECAST}, {PAV}, bl as (select grp, max(p) edge, fit from iso group by grp, fit), q as (select grp, p2, count(*) n from fc group by all) select q.grp, {R('q.p2')} price, q.n, {R('coalesce((select arg_min(fit, edge) from bl where bl.grp = q.grp and bl.edge >= q.p2), (select arg_max(fit, edge) from bl where bl.grp = q.grp))')} corrected from q")
 def agg13(spark, d):
     fc = X.forecast(spark, d)
-    maps = isotonic.as_map(isotonic.blocks(scoring.pooled(fc, group=["grp"]), ["grp"], few=50), ["grp"])
+    maps = isotonic.as_map(isotonic.blocks(scoring.pooled(fc, group=["grp"]), ["grp"]), ["grp"])
     rows = fc.groupBy("grp", "p2").agg(F.count("*").alias("n")).join(F.broadcast(maps), "grp")
     return rounded(rows.select("grp", F.col("p2").alias("price"), "n", isotonic.apply_map(F.col("p2"), F.col("edges"), F.col("values")).alias("corrected")))
 
@@ -142,7 +142,7 @@ w as (select *, case when fold::varchar || '/' || stratum in (select grp from bi
 select fold::bigint fold, stratum, {R('p')} p, n::bigint n, sy::bigint sy, {R('coalesce((select arg_min(fit, edge) from bl where bl.grp = w.m and bl.edge >= w.p), (select arg_max(fit, edge) from bl where bl.grp = w.m))')} fit from w""")
 def agg17(spark, d):
     points = isotonic.fold_points(X.forecast(spark, d), "cluster", "p", "y", stratum="grp")
-    return rounded(isotonic.cross_fit(points, minimum_stratum=9000, few=50))
+    return rounded(isotonic.cross_fit(points, minimum_stratum=9000))
 
 
 @query("agg15_beta_calibration")
@@ -177,7 +177,10 @@ def agg19(spark, d):
     return rounded(temporal.census(with_split(X.forecast(spark, d))))
 
 
-@query("snk06_census_table")
+CENSUS_LINE = "'| ' || concat_ws(' | ', split, n, bucket_0, bucket_1, bucket_2, no_lifetime) || ' |'"
+
+
+@query("snk06_census_table", f"with {X.FORECAST}, {CENSUS}, c as (select line, split, count(p) n, count(p) filter (us is null) no_lifetime, count(p) filter ({BUCKET} = '<30d') bucket_0, count(p) filter ({BUCKET} = '30-180d') bucket_1, count(p) filter ({BUCKET} = '180d+') bucket_2 from (select unnest(['train', 'dev', 'published', 'open']) split, unnest([1, 2, 3, 4]) line) left join ce using (split) group by all) select line::bigint line, {CENSUS_LINE} \"text\" from c")
 def snk06(spark, d):
     return temporal.census_table(with_split(X.forecast(spark, d)))
 
@@ -192,9 +195,9 @@ def agg20(spark, d):
     return rounded(temporal.horizon_scores(X.forecast(spark, d)))
 
 
-@query("agg21_base_rate", f"with {X.FORECAST}, {CENSUS}, c2 as (select *, grp || '/' || (l_partkey % 50)::varchar cls from ce), t as (select cls, count(*) n, sum(y) s from c2 where split = 'train' group by 1), o as (select sum(s) / sum(n) overall from t) select c2.cls, c2.split, count(*) n, {R('max(case when t.n >= 30 then t.s / t.n else overall end)')} base_rate, bool_or(coalesce(t.n >= 30, false)) covered from c2 left join t using (cls), o where c2.split <> 'train' group by all")
+@query("agg21_base_rate", f"with {X.FORECAST}, {CENSUS}, c2 as (select * replace (case when l_suppkey % 9 <> 0 then y end as y), grp || '/' || (l_partkey % 50)::varchar cls from ce), t as (select cls, count(*) n, sum(y) s from c2 where split = 'train' and y is not null group by 1), o as (select sum(s) / sum(n) overall from t) select c2.cls, c2.split, count(*) n, {R('max(case when t.n >= 30 then t.s / t.n else overall end)')} base_rate, bool_or(coalesce(t.n >= 30, false)) covered from c2 left join t using (cls), o where c2.split <> 'train' group by all")
 def agg21(spark, d):
-    rows = with_split(X.forecast(spark, d)).withColumn("cls", F.concat_ws("/", "grp", (F.col("l_partkey") % 50).cast("string")))
+    rows = with_split(X.forecast(spark, d)).withColumn("cls", F.concat_ws("/", "grp", (F.col("l_partkey") % 50).cast("string"))).withColumn("y", F.when(F.col("l_suppkey") % 9 != 0, F.col("y")))
     model = temporal.BaseRates(rows.where("split = 'train'"), "cls", split_col=None)
     out = model.forecast(rows.where("split != 'train'"))
     return rounded(out.groupBy("cls", "split").agg(F.count("*").alias("n"), F.max("base_rate").alias("base_rate"), F.bool_or("covered").alias("covered")))
@@ -230,6 +233,13 @@ def agg24(spark, d):
     return rounded(resample.hash_bootstrap(fc.withColumn("e", diff), "e", "cluster", draws="xxhash"))
 
 
+@query("agg24_vector_bootstrap")
+def agg24_vector(spark, d):
+    fc = X.forecast(spark, d)
+    diff = (F.col("p") - F.col("y")) * (F.col("p") - F.col("y")) - (F.col("p2") - F.col("y")) * (F.col("p2") - F.col("y"))
+    return rounded(resample.vector_bootstrap(fc.withColumn("e", diff), "e", "cluster"))
+
+
 DELTA = "((p - y) * (p - y) - (p2 - y) * (p2 - y))"
 
 

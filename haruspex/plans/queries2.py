@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,12 +77,12 @@ def ing05(spark, d):
 
 SWEEP_CATS = ("Politics", "Sports", "Economics", "Crypto", "World")
 SWEEP = """sw as (select l_orderkey::varchar || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey ticker, 'S' || (l_partkey % 8) || '-' || l_orderkey event_ticker, case when l_suppkey % 11 <> 0 then 'finalized' else 'active' end status,
-  case when l_partkey % 13 = 0 then 'M' end mve, case when l_linenumber = 5 then 'Will it be above $' || l_partkey || '?' when l_linenumber = 6 then 'How many in ' || l_partkey || ' days?' else 'Will it rain?' end title,
+  case when l_partkey % 13 = 0 then 'M' when l_partkey % 13 = 1 then '' end mve, case when l_linenumber = 5 then 'Will it be above $' || l_partkey || '?' when l_linenumber = 6 then 'How many in ' || l_partkey || ' days?' else 'Will it rain?' end title,
   case when l_returnflag = 'R' then 'yes' when l_returnflag = 'A' then 'no' else '' end result, o_orderdate opened, l_shipdate settled,
   case l_partkey % 8 when 0 then 'Politics' when 1 then 'Sports' when 2 then 'Economics' when 3 then 'Crypto' when 4 then 'World' end category from lineitem join orders on l_orderkey = o_orderkey),
-swr as (select *, case when status <> 'finalized' then 'not_finalized' when mve is not null then 'combination' when category is null then 'unknown_series' when category in ('Sports', 'Crypto') then 'mechanical'
+swr as (select *, case when status <> 'finalized' then 'not_finalized' when mve <> '' then 'mve' when category is null then 'unknown_series' when category in ('Sports', 'Crypto') then 'mechanical_category'
   when title <> 'Will it rain?' and (title like '%above $%' or title like 'How many%') then 'numeric_title' when result not in ('yes', 'no') then 'no_result' when settled < timestamp '1996-01-01' or settled >= timestamp '1998-01-01' then 'outside_window'
-  when floor((epoch_us(settled) - epoch_us(opened)) / 86400000000) < 7 then 'too_short' end reason from sw)"""
+  when floor((epoch_us(settled) - epoch_us(opened)) / 86400000000) < 7 then 'short_lifetime' end reason from sw)"""
 
 
 def sweep(spark, d: str) -> DataFrame:
@@ -93,7 +92,7 @@ def sweep(spark, d: str) -> DataFrame:
     s = lambda c: F.col(c).cast("string")
     rows = li.select(
         F.concat_ws("-", s("l_orderkey"), s("l_linenumber"), s("l_partkey"), s("l_suppkey")).alias("ticker"), F.concat(F.lit("S"), (F.col("l_partkey") % 8).cast("string"), F.lit("-"), s("l_orderkey")).alias("event_ticker"), F.when(F.col("l_suppkey") % 11 != 0, "finalized").otherwise("active").alias("status"),
-        F.when(F.col("l_partkey") % 13 == 0, "M").alias("mve_collection_ticker"), F.when(F.col("l_linenumber") == 5, F.concat(F.lit("Will it be above $"), s("l_partkey"), F.lit("?"))).when(F.col("l_linenumber") == 6, F.concat(F.lit("How many in "), s("l_partkey"), F.lit(" days?"))).otherwise("Will it rain?").alias("title"),
+        F.when(F.col("l_partkey") % 13 == 0, "M").when(F.col("l_partkey") % 13 == 1, "").alias("mve_collection_ticker"), F.when(F.col("l_linenumber") == 5, F.concat(F.lit("Will it be above $"), s("l_partkey"), F.lit("?"))).when(F.col("l_linenumber") == 6, F.concat(F.lit("How many in "), s("l_partkey"), F.lit(" days?"))).otherwise("Will it rain?").alias("title"),
         F.when(F.col("l_returnflag") == "R", "yes").when(F.col("l_returnflag") == "A", "no").otherwise("").alias("result"), F.col("o_orderdate").alias("opened"), F.col("l_shipdate").alias("settled"),
     )
     rows = rows.withColumn("series", ingest.series_of(F.col("event_ticker"))).join(F.broadcast(cats), "series", "left")
@@ -112,11 +111,11 @@ def top01(spark, d):
     return ingest.one_per_event(rows, "event_ticker", [F.desc("life"), "ticker"]).select("event_ticker", "ticker", "life")
 
 
-@query("ing08_rebuilt_prompts", """with t as (select doc_id, text || case when doc_id % 2 = 0 then '? ' else '' end title, case when doc_id % 3 = 0 then upper(lang) else 'Sub ' || doc_id end sub from documents)
+@query("ing08_rebuilt_prompts", """with t as (select doc_id, text || case doc_id % 4 when 0 then '? ' when 1 then '?' || chr(9) when 2 then ' ??' || chr(10) else '' end title, case when doc_id % 3 = 0 then upper(lang) else 'Sub ' || doc_id end sub from documents)
 select doc_id, case when contains(lower(title), lower(sub)) then title else regexp_replace(regexp_replace(regexp_replace(title, '\\s+$', ''), '\\?+$', ''), '\\s+$', '') || ' — resolves YES if: ' || sub end prompt from t""")
 def ing08(spark, d):
     i = F.col("doc_id")
-    t = X.table(spark, d, "documents").select("doc_id", F.concat("text", F.when(i % 2 == 0, "? ").otherwise("")).alias("t"), F.when(i % 3 == 0, F.upper("lang")).otherwise(F.concat(F.lit("Sub "), i.cast("string"))).alias("s"))
+    t = X.table(spark, d, "documents").select("doc_id", F.concat("text", F.when(i % 4 == 0, "? ").when(i % 4 == 1, "?\t").when(i % 4 == 2, " ??\n").otherwise("")).alias("t"), F.when(i % 3 == 0, F.upper("lang")).otherwise(F.concat(F.lit("Sub "), i.cast("string"))).alias("s"))
     return t.select("doc_id", ingest.rebuilt_prompt(F.col("t"), F.col("s")).alias("prompt"))
 
 
@@ -183,7 +182,10 @@ def ing18(spark, d):
     return rows.groupBy(ingest.corpus_reason(allow_extreme=False, require_reasoning=True).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("ing19_prompts", "select o_orderkey, sha256('Question: order ' || o_orderkey || chr(10) || 'Criteria: ' || coalesce(nullif(case when o_orderkey % 3 = 0 then '' else o_orderpriority end, ''), 'not stated') || chr(10) || 'Resolves: ' || substr(case when o_orderkey % 5 = 0 then 'unknown' else strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') end, 1, 10) || chr(10) || 'As of: unknown') h from orders")
+PROMPT_SQL = "'" + ingest.PROMPT.replace("{question}", "' || 'order ' || o_orderkey || '").replace("{criteria}", f"' || coalesce(nullif(case when o_orderkey % 3 = 0 then '' else o_orderpriority end, ''), '{ingest.ABSENT['criteria']}') || '").replace("{scheduled}", "' || case when o_orderkey % 5 = 0 then 'unknown' else strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') end || '").replace("{as_of}", "unknown") + "'"
+
+
+@query("ing19_prompts", f"select o_orderkey, sha256({PROMPT_SQL}) h from orders")
 def ing19(spark, d):
     k = F.col("o_orderkey")
     p = ingest.prompt(F.concat(F.lit("order "), k.cast("string")), F.when(k % 3 == 0, "").otherwise(F.col("o_orderpriority")), F.when(k % 5 != 0, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")), F.lit(None).cast("string"))
@@ -219,9 +221,18 @@ def screened(spark, d: str) -> DataFrame:
     return leakage.screen(X.evidence(spark, d), leakage.registry(spark, X.TIERS))
 
 
-@query("leak09_screen", f"with {X.EVIDENCE} select doc_id, tier::bigint tier, array_to_string(reasons, ',') reasons, len(reasons) = 0 admissible, case when len(reasons) = 0 and provenance = 'unknown' and tier = 1 then 'tier1_unknown_provenance' end exemption from ev")
+SCAN = "trim(regexp_replace(replace(replace(lower({x}), 'ß', 'ss'), 'ſ', 's'), '[^\\p{{L}}\\p{{N}}.%]+', ' ', 'g'))"
+STATED = f"contains(d.text, f) or ({SCAN.format(x='f')} <> '' and contains({SCAN.format(x='d.text')}, {SCAN.format(x='f')}))"
+
+
+@query("leak09_screen", f"""with {X.EVIDENCE}, st as (select doc_id, f, regexp_matches(f, '\\S') and ({STATED}) stated from (select *, case doc_id % 7 when 0 then substr(text, 1, 12) when 1 then upper(substr(text, 1, 12)) else 'no such outcome' end f from documents) d),
+e2 as (select ev.*, f, stated, case when stated then list_append(reasons, 'outcome_string_match') else reasons end r from ev join st using (doc_id))
+select doc_id, tier::bigint tier, array_to_string(r, ',') reasons, len(r) = 0 admissible, case when len(r) = 0 and provenance = 'unknown' and tier = 1 then 'tier1_unknown_provenance' end exemption, case when stated then f else '' end matched, stated::int::double max_similarity from e2""")
 def leak09(spark, d):
-    return screened(spark, d).select("doc_id", F.col("tier").cast("bigint").alias("tier"), F.array_join("reasons", ",").alias("reasons"), "admissible", "exemption")
+    i, start = F.col("doc_id"), F.substring("text", 1, 12)
+    stated = X.table(spark, d, "documents").select("doc_id", F.col("text").alias("snippet"), F.array(F.when(i % 7 == 0, start).when(i % 7 == 1, F.upper(start)).otherwise("no such outcome")).alias("forms"))
+    s = leakage.screen(X.evidence(spark, d).join(stated, "doc_id"), leakage.registry(spark, X.TIERS), forms="forms")
+    return s.select("doc_id", F.col("tier").cast("bigint").alias("tier"), F.array_join("reasons", ",").alias("reasons"), "admissible", "exemption", F.array_join("matched_forms", ",").alias("matched"), "max_similarity")
 
 
 @query("leak10_reason_counts", f"with {X.EVIDENCE} select reason, count(*) n from (select unnest(case when len(reasons) = 0 then [null] else reasons end) reason from ev) group by 1")
@@ -246,9 +257,6 @@ def leak11_share(spark, d):
     return rounded(leakage.exemption_share(screened(spark, d)))
 
 
-SCAN = "trim(regexp_replace(replace(replace(lower({x}), 'ß', 'ss'), 'ſ', 's'), '[^\\p{{L}}\\p{{N}}.%]+', ' ', 'g'))"
-
-
 @query("leak06_outcome_scan", f"select doc_id, item_id, case when contains(d.text, b.text) then 'exact' else 'normalized' end matched_as from documents d, benchmark b where trim(b.text) <> '' and (contains(d.text, b.text) or contains({SCAN.format(x='d.text')}, {SCAN.format(x='b.text')}))")
 def leak06(spark, d):
     b = X.table(spark, d, "benchmark").select("item_id", F.col("text").alias("form"))

@@ -5,6 +5,7 @@ Isotonic fits, equal-mass bins and quantiles don't merge; they run in foreachBat
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -31,12 +32,17 @@ def leak_stats_stream(evidence: DataFrame, tiers: DataFrame) -> DataFrame:
 
 
 def windowed_scores(rows: DataFrame, at: str, every: str = "1 day", lateness: str = "1 hour") -> DataFrame:
-    """Brier sums by event-time window; rows later than the watermark are dropped."""
+    """Brier sums by event-time window; rows later than the watermark are dropped, and late_rows counts them."""
     e = (F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))
     out = rows.withWatermark(at, lateness).groupBy(F.window(at, every).alias("w")).agg(F.count("*").alias("n"), F.sum(e).alias("se"))
     return out.select(F.col("w.start").alias("start"), "n", (F.col("se") / F.col("n")).alias("brier"))
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a query has dropped as later than its watermark, over the progress that it still remembers."""
+    return sum(int(s["numRowsDroppedByWatermark"]) for p in query.recentProgress for s in json.loads(p.json if hasattr(p, "json") else json.dumps(p))["stateOperators"])
+
+
 def unscored_stream(requests: DataFrame, at: str, lateness: str = "1 day") -> DataFrame:
     """Each question once, however often a resumed run sends it."""
     return requests.withWatermark(at, lateness).dropDuplicatesWithinWatermark(["question_id"])

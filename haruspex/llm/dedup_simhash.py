@@ -257,9 +257,17 @@ def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text", crowd: int = CROWD) -> DataFrame:
-    """One row of each group, all columns; groups are of rows, so repeated rows and null doc_ids count too."""
+def keep_one(docs: DataFrame, text: str = "text", crowd: int = CROWD, first: str | None = None) -> DataFrame:
+    """One row of each group, all columns; groups are of rows, so repeated rows and null doc_ids count too.
+
+    first: a column by which the row that stays is the least (nulls last, row numbers decide ties); else row numbers
+    alone decide, which follow the names of files.
+    """
     rid = free_name(docs, "rid")
     rows = numbered(docs, "simhash-docs", rid)
-    found = near_duplicates(rows, text, rid, crowd).where("doc_id != component_id").select(F.col("doc_id").alias(rid))
-    return rows.join(found, rid, "left_anti").select(*docs.columns)
+    found = near_duplicates(rows, text, rid, crowd).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    if first is None:
+        return rows.join(found.where("_row != _group").select(F.col("_row").alias(rid)), rid, "left_anti").select(*docs.columns)
+    order = rows.select(F.col(rid).alias("_row"), F.struct(F.col(first).isNull().alias("none"), F.col(first).alias("first"), F.col(rid).alias("row")).alias("_order"))
+    stay = order.join(found, "_row").groupBy("_group").agg(F.min("_order").alias("least")).select(F.col("least.row").alias(rid))
+    return rows.join(stay, rid, "left_semi").select(*docs.columns)

@@ -78,3 +78,10 @@ def test_op7_in_blocks(spark, documents, shifting):
     items = [(i, " ".join(rows[i][1].split()[3:25])) for i in range(6)]
     found = contamination(spark.read.parquet(f"{path}/documents.parquet"), spark.createDataFrame(items, "item_id long, text string"), block_words=30)
     assert sorted(map(tuple, found.collect()), key=str) == contaminated([r[:2] for r in rows], items)
+
+
+def test_keep_one_by_doc_id(spark, documents, shifting):
+    path, rows = documents
+    groups = brute_groups({d: brute_print(t) for d, t, _ in rows})
+    left = keep_one(spark.read.parquet(f"{path}/documents.parquet"), first="doc_id").collect()
+    assert sorted(r.doc_id for r in left) == sorted(set(groups.values()))

@@ -25,8 +25,8 @@ def toxicity(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return dedup_simhash.keep_one(docs)
+    """One document of each group of near-duplicates stays, the one of least doc_id."""
+    return dedup_simhash.keep_one(docs, first="doc_id")
 
 
 def decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

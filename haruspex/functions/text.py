@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,23 @@ def tokenize(text: Column) -> Column:
     return F.filter(found, lambda x: ~x.isin(*STOPWORDS))
 
 
+@cache
+def capital_letters() -> tuple[str, str]:
+    """Letters that have a capital of one letter, and those capitals in the same order."""
+    found = {"ß": "ẞ"}
+    for c in map(chr, range(0x20000)):
+        # Where upper case takes several letters, title case may be a single one (ᾳ is ᾼ); a ligature has neither.
+        one = next((x for x in (c.upper(), c.title()) if len(x) == 1), c)
+        if one != c:
+            found[c] = one
+    return "".join(found), "".join(found.values())
+
+
+def capitals(text: Column) -> Column:
+    """Upper case letter by letter, as SQL engines with simple case mapping have it: ß is ẞ, not SS, and no text grows."""
+    return F.translate(text, *capital_letters())
+
+
 def parse_forecast(text: Column) -> Column:
     """struct(probability, reasoning, failure) of a response; exactly one of probability and failure is null."""
     ps, rs = (F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (PROBABILITY, REASONING))

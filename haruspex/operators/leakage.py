@@ -128,8 +128,12 @@ def exemption_share(screened: DataFrame) -> DataFrame:
 
 
 def scan_form(text: Column) -> Column:
-    """Case folded, everything but letters, digits, '.' and '%' to single spaces."""
-    folded = F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ſ"), F.lit("s"))
+    """Case folded letter by letter, everything but letters, digits, '.' and '%' to single spaces.
+
+    Σ is σ at a word's end too and İ is i, as what a letter becomes may not depend on where a form is cut.
+    """
+    lower = F.lower(F.replace(F.replace(text, F.lit("Σ"), F.lit("σ")), F.lit("İ"), F.lit("i")))
+    folded = F.replace(F.replace(lower, F.lit("ß"), F.lit("ss")), F.lit("ſ"), F.lit("s"))
     return F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}.%]+", " "))
 
 

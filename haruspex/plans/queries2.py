@@ -230,9 +230,9 @@ e2 as (select ev.*, f, stated, case when stated then list_append(reasons, 'outco
 select doc_id, tier::bigint tier, array_to_string(r, ',') reasons, len(r) = 0 admissible, case when len(r) = 0 and provenance = 'unknown' and tier = 1 then 'tier1_unknown_provenance' end exemption, case when stated then f else '' end matched, stated::int::double max_similarity from e2""")
 def leak09(spark, d):
     i, start = F.col("doc_id"), F.substring("text", 1, 12)
-    stated = X.table(spark, d, "documents").select("doc_id", F.col("text").alias("snippet"), F.array(F.when(i % 7 == 0, start).when(i % 7 == 1, F.upper(start)).otherwise("no such outcome")).alias("forms"))
+    stated = X.table(spark, d, "documents").select("doc_id", F.col("text").alias("snippet"), F.array(F.when(i % 7 == 0, start).when(i % 7 == 1, T.capitals(start)).otherwise("no such outcome")).alias("forms"))
     s = leakage.screen(X.evidence(spark, d).join(stated, "doc_id"), leakage.registry(spark, X.TIERS), forms="forms")
-    return s.select("doc_id", F.col("tier").cast("bigint").alias("tier"), F.array_join("reasons", ",").alias("reasons"), "admissible", "exemption", F.array_join("matched_forms", ",").alias("matched"), "max_similarity")
+    return s.select("doc_id", F.col("tier").cast("bigint").alias("tier"), F.array_join("reasons", ",").alias("reasons"), "admissible", "exemption", F.array_join("matched_forms", ",").alias("matched"), F.when(F.col("snippet").isNotNull(), F.col("max_similarity")).alias("max_similarity"))
 
 
 @query("leak10_reason_counts", f"with {X.EVIDENCE} select reason, count(*) n from (select unnest(case when len(reasons) = 0 then [null] else reasons end) reason from ev) group by 1")

@@ -38,6 +38,11 @@ def floor_days(us: Column) -> Column:
     return F.floor(us / F.lit(DAY)).cast("long")
 
 
+def total_days(us: Column) -> Column:
+    """Whole days in a group's microseconds, an aggregate; their sum is a decimal, as a long holds no more than 107 million days."""
+    return F.call_function("div", F.sum(us.cast("decimal(20,0)")), F.lit(DAY).cast("decimal(20,0)"))
+
+
 def census(df: DataFrame, split_col: str = "split", lifetime_us: str = "lifetime_us") -> DataFrame:
     """(split, n, no_lifetime, one count a bucket); every split has its row."""
     us = F.col(lifetime_us)

@@ -70,7 +70,7 @@ def math01(spark, d):
 @query("date02_lifetimes", f"with {X.FORECAST} select grp, count(*) filter (us > 0) positive, count(*) filter (us <= 0) refused, sum(us) filter (us > 0)::bigint // 86400000000 total_days from (select grp, epoch_us(resolved_at) - epoch_us(as_of) us from fc) group by 1")
 def date02(spark, d):
     us = temporal.lifetime(F.col("resolved_at"), F.col("as_of"))
-    return rounded(X.forecast(spark, d).withColumn("us", us).groupBy("grp").agg(F.count_if(F.col("us") > 0).alias("positive"), F.count_if(F.col("us") <= 0).alias("refused"), F.floor(F.sum(F.when(F.col("us") > 0, F.col("us"))) / temporal.DAY).alias("total_days")))
+    return rounded(X.forecast(spark, d).withColumn("us", us).groupBy("grp").agg(F.count_if(F.col("us") > 0).alias("positive"), F.count_if(F.col("us") <= 0).alias("refused"), temporal.total_days(F.when(F.col("us") > 0, F.col("us"))).alias("total_days")))
 
 
 @query("win03_rolling_returns", f"with {X.SERIES}, r as (select series_id, us, ln(v / b) ret from (select series_id, us, value v, lag(value) over (partition by series_id order by us) b from se) where b > 0 and v > 0) select series_id, us, {R('s')} ret3 from (select *, sum(ret) over w s, count(*) over w k from r window w as (partition by series_id order by us rows between current row and 2 following)) where k = 3")

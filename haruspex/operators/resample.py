@@ -25,23 +25,26 @@ def hash_bootstrap(df: DataFrame, value: str | Column, cluster: str, *, level: f
     no generator state: every cluster is expanded to its resamples where it lies, and partial sums by resample are
     all that is shuffled.
     """
-    grouped = clusters(df, value, cluster)
+    # cluster sums are small, the work on them isn't: a stated number of partitions keeps all cores busy
+    spread = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    grouped = clusters(df, value, cluster).repartition(spread, "cluster")
+    # a draw's first 32 bits are held against the cuts as they are, in hexadecimal or as a number
     if draws == "sha256":
-        u = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(salt), F.col("b").cast("string"), F.col("cluster").cast("string")), 256), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+        u, cut = F.sha2(F.concat_ws(":", F.lit(salt), F.col("b").cast("string"), F.col("cluster").cast("string")), 256), lambda c: F.lit(f"{c:08x}")
     elif draws == "xxhash":
-        u = F.pmod(F.xxhash64(F.lit(salt), "b", "cluster"), F.lit(1 << 32)).cast("double") / F.lit(4294967296.0)
+        u, cut = F.xxhash64(F.lit(salt), "b", "cluster").bitwiseAND(F.lit((1 << 32) - 1)), F.lit
     else:
         raise ValueError(f"no such draws: {draws}")
     tail, cuts = 0.0, []
     for k in range(8):
         tail += math.exp(-1) / math.factorial(k)
-        cuts.append(tail)
-    # bound to a variable once: a draw named eight times would be hashed eight times
-    times = F.transform(F.array(u), lambda v: sum(((v >= c).cast("int") for c in cuts), F.lit(0)))[0]
-    # cluster sums are small, the work on them isn't: a stated number of partitions keeps all cores busy
-    spread = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    drawn = grouped.repartition(spread, "cluster").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("ks", F.transform(F.array(times), lambda k: F.struct((k * F.col("s")).alias("s"), (k * F.col("n")).alias("n")))[0])
-    means = drawn.groupBy("b").agg(F.try_divide(F.sum("ks.s"), F.sum("ks.n")).alias("mean"))
+        cuts.append(math.ceil(tail * 2**32))
+    # compiled projections one after the other: what is named more than once is computed once, and clusters not drawn add nothing
+    times = F.when(F.col("u") < cut(cuts[0]), F.lit(None).cast("int"))
+    for k, c in enumerate(cuts[1:], 1):
+        times = times.when(F.col("u") < cut(c), k)
+    drawn = grouped.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).select("b", "s", "n", u.alias("u")).select("b", "s", "n", times.otherwise(len(cuts)).alias("k"))
+    means = drawn.groupBy("b").agg(F.sum(F.col("k") * F.col("s")).alias("s"), F.sum(F.col("k") * F.col("n")).alias("n")).where("n is not null").select(F.try_divide("s", "n").alias("mean"))
     lo = (1 - level) / 2
     point = grouped.agg((F.sum("s") / F.sum("n")).alias("point"), F.count("*").alias("n_clusters"), F.sum("n").alias("n_observations"))
     return means.agg(F.percentile("mean", lo).alias("lower"), F.percentile("mean", 1 - lo).alias("upper"), F.count("*").alias("n_resamples")).crossJoin(point)

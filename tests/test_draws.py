@@ -62,3 +62,9 @@ def test_sha256_draws_are_compiled(spark):
     df = spark.createDataFrame([(1, 0.5)], "c long, v double")
     p = plan(spark, resample.hash_bootstrap(df, "v", "c"))
     assert "lambda" not in p and p.count("sha2(") == 1
+
+
+def test_xxhash_draws_are_compiled(spark):
+    df = spark.createDataFrame([(1, 0.5)], "c long, v double")
+    p = plan(spark, resample.hash_bootstrap(df, "v", "c", draws="xxhash"))
+    assert "lambda" not in p and p.count("xxhash64(") == 1

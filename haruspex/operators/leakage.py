@@ -164,31 +164,87 @@ def match_outcomes(docs: DataFrame, forms: DataFrame, snippet: str = "snippet",
     return rows.withColumn("matched_as", F.when(exact, "exact").otherwise("normalized")).drop("_doc", "_form", "_anchor")
 
 
+#: Words of a text whose windows are bounded at a time.
+PIECE = 50_000
+#: From this length on difflib leaves out what it takes for noise.
+AUTOJUNK = 200
+
+
+def _ratio(form: str, window: str) -> float:
+    """difflib's ratio. The longest common piece, first in the form, then in the window, is sought by growing: a piece of
+    the form that is longer than the best so far is looked up in the window as it is."""
+    if len(window) >= AUTOJUNK:
+        return difflib.SequenceMatcher(None, form, window).ratio()
+    same, parts = 0, [(0, len(form), 0, len(window))]
+    while parts:
+        a, a_end, b, b_end = parts.pop()
+        size, most, at, there = 0, min(a_end - a, b_end - b), a, b
+        i = a
+        while size < most and i + size < a_end:
+            found = window.find(form[i : i + size + 1], b, b_end)
+            if found < 0:
+                i += 1
+            else:
+                size, at, there = size + 1, i, found
+        if size:
+            same += size
+            parts += [(a, at, b, there), (at + size, a_end, there + size, b_end)]
+    return 2.0 * same / (len(form) + len(window))
+
+
+def _common(masks, starts, sizes, m: int):
+    """Length of the longest common subsequence of a form of m <= 64 characters and each window, bit by bit over all windows.
+
+    masks has the places in the form of each character of the text; windows come in order of size, the longest first.
+    """
+    import numpy as np
+
+    v = np.full(len(starts), 2**64 - 1, np.uint64)
+    for t, k in enumerate(np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0), side="left")):
+        u = v[:k] & masks[starts[:k] + t]
+        v[:k] = (v[:k] + u) | (v[:k] - u)
+    left = ~v & np.uint64(2**m - 1)
+    return np.unpackbits(left.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=1)
+
+
 def _best_ratio(text: str, form: str) -> float:
-    """Windows are compared in order of the characters they share with the form, which bound the ratio, until none can be better."""
+    """Windows are compared in order of a bound on their ratio until none can be better: the characters that they share
+    with the form, and for windows that aren't far longer than it, the longest common subsequence, as matching pieces are one."""
     import numpy as np
 
-    words, w = text.split(), len(form.split())
-    letters = {c: i for i, c in enumerate(sorted(set(form)))}
-    sought = np.bincount([letters[c] for c in form], minlength=len(letters))
-    vectors = {x: np.bincount([letters[c] for c in x if c in letters], minlength=len(letters)) for x in set(words)}
-    shared = np.cumsum(np.array([np.zeros(len(letters), int), *(vectors[x] for x in words)]), axis=0)
-    sizes = np.cumsum([0, *map(len, words)])
-    bounds, spans = [], []
-    for n in (w - 1, w, w + 1):
-        if w and 0 < n <= len(words):
-            count = shared[n:] - shared[:-n]
-            if " " in letters:
-                count[:, letters[" "]] += n - 1
-            bounds.append(2.0 * np.minimum(count, sought).sum(axis=1) / (len(form) + sizes[n:] - sizes[:-n] + n - 1))
-            spans += [(i, i + n) for i in range(len(words) - n + 1)]
+    words, w, m = text.split(), len(form.split()), len(form)
+    letters = sorted(set(form))
+    codes = np.array([ord(c) for c in letters], np.uint32)
+    places = np.array([sum(1 << i for i, c in enumerate(form) if c == x) for x in letters] + [0], np.uint64) if m <= 64 else None
     best = 0.0
-    if spans:
-        bound = np.concatenate(bounds)
+    for lo in range(0, len(words) if w else 0, PIECE):
+        piece = words[lo : lo + PIECE + w]
+        joined = " ".join(piece)
+        ends = np.cumsum([len(x) + 1 for x in piece]) - 1
+        begins = np.concatenate([[0], ends[:-1] + 1])
+        sizes = [n for n in (w - 1, w, w + 1) if 0 < n <= len(piece)]
+        starts = np.concatenate([begins[: len(piece) - n + 1] for n in sizes] or [begins[:0]])
+        stops = np.concatenate([ends[n - 1 :] for n in sizes] or [ends[:0]])
+        chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        at = np.minimum(np.searchsorted(codes, chars), len(codes) - 1)
+        at = np.where(codes[at] == chars, at, len(codes))
+        shared = np.zeros(len(starts), np.int64)
+        for k, c in enumerate(letters):
+            count = np.concatenate([[0], np.cumsum(at == k)])
+            shared += np.minimum(count[stops] - count[starts], form.count(c))
+        bound = 2.0 * shared / (m + stops - starts)
+        if places is not None:
+            near = np.flatnonzero((stops - starts <= 4 * m) & (bound > best))
+            near = near[np.argsort(starts[near] - stops[near], kind="stable")]
+            bound[near] = 2.0 * _common(places[at], starts[near], stops[near] - starts[near], m) / (m + stops[near] - starts[near])
+        tried = set()
         for k in np.argsort(-bound, kind="stable"):
             if bound[k] <= best:
                 break
-            best = max(best, difflib.SequenceMatcher(None, form, " ".join(words[slice(*spans[k])])).ratio())
+            window = joined[starts[k] : stops[k]]
+            if window not in tried:
+                tried.add(window)
+                best = max(best, _ratio(form, window))
     return best
 
 
